@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,8 +312,6 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
 
 def score(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_toxicity``: struct(score double, predicted int, spans)."""
-    import pandas as pd
-
     @F.pandas_udf("score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
     def tagged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
