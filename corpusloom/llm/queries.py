@@ -52,7 +52,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import line_dedup
 
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "lines", "deleted", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+    size = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(c, "\n")))
+    return done.select("doc_id", size("_whole").alias("n_lines"), (size("_whole") - size("text")).alias("n_deleted"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
