@@ -158,7 +158,6 @@ def _kept(text: str | None, cut: list[tuple[int, int]] | None) -> str | None:
     return "\n".join(rest) if any(x.strip() for x in rest) else ""
 
 
-@F.pandas_udf("string")
 def _delete(text: pd.Series, first: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([_kept(t, None if a is None else list(zip(a, n, strict=True))) for t, a, n in zip(text, first, lines, strict=True)], dtype=object)
 
@@ -168,5 +167,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = blocks(docs, min_words).groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash")).agg(F.collect_set(F.struct("first", "lines")).alias("_cut"))
     joined = docs.withColumn("_whole", F.col("text")).join(cuts, (F.col("doc_id").cast("long") == F.col("_cut_id")) & (F.xxhash64("text") == F.col("_cut_hash")), "left")
     cut = F.array_sort("_cut")
-    kept = F.when(F.col("_cut").isNull(), F.col("_whole")).otherwise(_delete("_whole", cut["first"], cut["lines"]))
+    kept = F.when(F.col("_cut").isNull(), F.col("_whole")).otherwise(F.pandas_udf(_delete, "string")("_whole", cut["first"], cut["lines"]))
     return joined.withColumn("text", kept).select(*docs.columns, "_whole")

@@ -29,8 +29,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 def labelled_urls() -> list[tuple[str, int]]:
     """The small training table: invented sites of both kinds, 1 = blocked."""
     wanted = {
-        "hosts": ("docs.python-guide.example", "library.state.example", "news.daily.example", "wiki.open.example", "blog.science.example", "www.university.example"),
-        "paths": ("/articles/2021/history-of-maps", "/guide/install.html", "/en/research/climate", "/wiki/linear_algebra", "/lessons/grammar/"),
+        "hosts": ("docs.python-guide.example", "library.state.example", "news.daily.example", "wiki.open.example", "blog.science.example", "www.university.example", "m.city.example.net", "shop.garden.example.org"),
+        "paths": ("/en/17", "/de/2045/", "/fr/391.html", "/es/8800", "/articles/2021/history-of-maps", "/guide/install.html", "/en/research/climate", "/wiki/linear_algebra", "/lessons/grammar/"),
     }
     unwanted = {
         "hosts": ("casino-bonus.example", "xxx-cams.example", "cheap-pills-online.example", "free-crack-keygen.example", "bet-slots-win.example", "adult-porn-tube.example"),
