@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import CONTROL, split_lines, strip, words
+from corpusloom.functions.text import CONTROL, bound, let, split_lines, strip, words
 
 # Word lists, character classes and weights of the score.
 STOP_WORDS = "的 了 是 在 和 有 我 也 就 人 都 一个 上 不 与 为 这 那 中 来 到 对 以 可 会 被 用 他 她 它 们 而 但 或 如 从 说 要 去 你 还 把 让 给 想 能 没 很 只 这个 自己".split()
@@ -32,14 +32,17 @@ def _count(text: Column, pattern: str) -> Column:
 
 def score(text: Column) -> Column:
     """Penalties in a fixed order of double subtractions; the empty text scores 0."""
+    return let(F.struct(text.alias("t"), words(text).alias("w")), lambda x: _score(x["t"], x["w"]))
+
+
+def _score(text: Column, tokens: Column) -> Column:
     n = F.length(text).cast("double")
     n = F.when(n > 0, n)
-    tokens = words(text)
     n_tokens = F.size(tokens).cast("double")
     many = n_tokens > 10
     per_token = F.when(n_tokens > 0, n_tokens)
     filled = F.filter(split_lines(text), lambda x: strip(x) != "")
-    mean_line = F.aggregate(filled, F.lit(0.0), lambda a, x: a + F.length(x)) / F.when(F.size(filled) > 0, F.size(filled))
+    mean_line = let(filled, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.length(x)) / F.when(F.size(f) > 0, F.size(f)))
     stops = F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS))).cast("double")
     rules = [
         (text.rlike(LONG_RUN), 0.25),
@@ -65,12 +68,12 @@ def score(text: Column) -> Column:
 
 def filter_by_quality(rows: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """Rows that reach the score, with it."""
-    return rows.withColumn("score", score(F.col(text))).where(F.col("score") >= min_score)
+    return bound(rows, score=score(F.col(text))).where(F.col("score") >= min_score)
 
 
 def stats(rows: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """Total, passed, filtered, pass_rate, and mean, least and largest score of the rows that pass (0 for none)."""
-    scored = rows.select(score(F.col(text)).alias("s"))
+    scored = bound(rows.select(text), s=score(F.col(text)))
     ok = F.col("s") >= min_score
     found = scored.agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.avg(F.when(ok, F.col("s"))).alias("a"), F.min(F.when(ok, F.col("s"))).alias("lo"), F.max(F.when(ok, F.col("s"))).alias("hi"))
     zero = F.lit(0.0)

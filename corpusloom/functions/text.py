@@ -7,6 +7,7 @@ excludes the line feed only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +63,22 @@ def fold(text: Column, patterns: list[str], by: str = "") -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, by), patterns, text)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has lambdas of its own."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def bound(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns so that later filters and projections read them and do not repeat them.
+
+    Catalyst moves filters below projections and writes the expressions out in both
+    places; it does not move them below a generator.
+    """
+    for name, c in columns.items():
+        rows = rows.select(*(x for x in rows.columns if x != name), F.explode(F.array(c)).alias(name))
+    return rows
+
+
 def strip(text: Column) -> Column:
     """Python's ``str.strip``."""
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
@@ -173,8 +190,13 @@ def sentences(text: Column, min_length: int = 10) -> Column:
 
 def ngrams(text: Column, n: int = 5) -> Column:
     """Distinct n-grams of white-space tokens, joined by blanks; none for shorter texts."""
-    w = words(text)
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def of(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(none)
+
+    return let(words(text), of)
 
 
 class Pipeline:

@@ -11,9 +11,9 @@ from corpusloom.operators import dedup
 
 def clean_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, pii, score) of the lines that cleaning leaves; personal data are counted, then replaced."""
-    rows = text.lines(docs).select("doc_id", "line_no", text.standard(F.col("line")).alias("line")).where("line != ''")
-    rows = rows.select("doc_id", "line_no", pii.redact(F.col("line")).alias("line"), pii.total(F.col("line")).alias("pii"))
-    return rows.withColumn("score", quality.score(F.col("line")))
+    rows = text.bound(text.lines(docs), line=text.standard(F.col("line"))).where("line != ''")
+    rows = text.bound(rows.withColumn("pii", pii.total(F.col("line"))), line=pii.redact(F.col("line")))
+    return text.bound(rows, score=quality.score(F.col("line"))).select("doc_id", "line_no", "line", "pii", "score")
 
 
 def clean_corpus(docs: DataFrame, min_score: float = 0.5, line_threshold: int = 3, unique: bool = True) -> DataFrame:

@@ -19,8 +19,8 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean(lines: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The line chain of the batch job: clean, redact, score, filter.  Stateless."""
-    out = lines.where(text.strip(F.col("line")) != "").withColumn("line", text.standard(F.col("line"))).where("line != ''")
-    out = out.withColumn("line", pii.redact(F.col("line"))).withColumn("score", quality.score(F.col("line")))
+    out = text.bound(lines.where(text.strip(F.col("line")) != ""), line=text.standard(F.col("line"))).where("line != ''")
+    out = text.bound(text.bound(out, line=pii.redact(F.col("line"))), score=quality.score(F.col("line")))
     return out.where(F.col("score") >= min_score)
 
 
@@ -59,7 +59,7 @@ def rate_limit(events: DataFrame, window: float, most: int) -> DataFrame:
         part = part.sort_values(["t", "event_id"])
         return part.assign(allowed=allowed(part["t"].tolist(), window, most)[0])[["user_id", "event_id", "allowed"]]
 
-    return events.select("user_id", "event_id", F.col("ts").cast("double").alias("t")).groupBy("user_id").applyInPandas(run, _LIMITED)
+    return events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t")).groupBy("user_id").applyInPandas(run, _LIMITED)
 
 
 def rate_limit_stream(events: DataFrame, window: float, most: int) -> DataFrame:
@@ -72,7 +72,7 @@ def rate_limit_stream(events: DataFrame, window: float, most: int) -> DataFrame:
         state.update((held,))
         yield part.assign(allowed=ok)[["user_id", "event_id", "allowed"]]
 
-    keyed = events.select("user_id", "event_id", F.col("ts").cast("double").alias("t"))
+    keyed = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
     return keyed.groupBy("user_id").applyInPandasWithState(run, _LIMITED, "seconds array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
