@@ -75,7 +75,10 @@ def patience(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     One round takes matches unique on both sides (of several, the first left), keeps
     their longest increasing run and joins what overlaps on the same diagonal.
     """
-    blocks, left = [], sorted(set(matches))
+    longest: dict[tuple[int, int], int] = {}
+    for a, b, n in matches:
+        longest[a, b] = max(n, longest.get((a, b), 0))
+    blocks, left = [], sorted((a, b, n) for (a, b), n in longest.items())
     while left:
         mine, other = Counter(a for a, _, _ in left), Counter(b for _, b, _ in left)
         unique = [m for m in left if mine[m[0]] == 1 and other[m[1]] == 1]
@@ -104,8 +107,8 @@ def patience(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
                 blocks[-1] = (blocks[-1][0], blocks[-1][1], max(blocks[-1][2], a + n - blocks[-1][0]))
             else:
                 blocks.append((a, b, n))
-        done = {a for a, _, _ in chain}
-        left = [m for m in left if m[0] not in done]
+        done = set(chain)
+        left = [m for m in left if m not in done]
     return blocks
 
 
