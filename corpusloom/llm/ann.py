@@ -39,9 +39,9 @@ class Params:
 
     pivots: int = 64
     sample: int = 4096
-    posted: int = 8
+    posted: int = 10
     footrule: int = 32
-    again: float = 0.5
+    again: float = 0.6
     least: int = 64
     stretch: int = 20_000
     block: int = 64
