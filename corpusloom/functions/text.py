@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,8 +212,6 @@ class Pipeline:
 
     def add_python(self, function) -> Pipeline:
         """A Python function on one string, run over Arrow batches."""
-        import pandas as pd
-
         def run(values: pd.Series) -> pd.Series:
             return values.map(function, na_action="ignore")
 
