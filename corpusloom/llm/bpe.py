@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import texts_of
 
 #: A block ends after so many tokens.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 23
 #: Hash classes of words in a bundle.
 BUCKETS = 64
 
@@ -99,6 +99,15 @@ def _values(data: bytes, width: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _pair(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(4, "little") + a + b
+
+
+def _unpair(data: bytes) -> tuple[bytes, bytes]:
+    size = 4 + int.from_bytes(data[:4], "little")
+    return data[4:size], data[size:]
+
+
 def _int_list(values: list[int]) -> bytes:
     return _squeeze(np.array(values, dtype="<i8").tobytes())
 
@@ -120,11 +129,11 @@ def _explode(pattern: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBat
             rank[order] = np.arange(len(order))
             encoded = [words[k].encode() for k in order]
             bucket = np.array([zlib.crc32(w) % BUCKETS for w in encoded], dtype=np.int64)
-            rows = [(block, -1, -1 - block % BUCKETS, _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
+            rows = [(block, -1, -1 - ((block >> 32) + block) % BUCKETS, _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
             for k in np.unique(bucket):
                 mine = np.flatnonzero(bucket == k)
                 own = [encoded[i] for i in mine]
-                rows.append((block, int(k), int(k), _planes(np.diff(mine, prepend=0), 4), _squeeze(b"".join(own)) + np.array([len(w) for w in own], dtype="<u4").tobytes()))
+                rows.append((block, int(k), int(k), _planes(np.diff(mine, prepend=0), 4), _pair(_planes(np.array([len(w) for w in own]), 4), _squeeze(b"".join(own)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], type=t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "deal", "a", "b"])
 
         for batch in found:
@@ -155,9 +164,8 @@ def _encode(vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]
             for i, bucket in enumerate(buckets):
                 if bucket < 0:
                     continue
-                n = len(_values(a[i], 4))
-                sizes = np.frombuffer(b[i][len(b[i]) - 4 * n :], dtype="<u4")
-                data = _expand(b[i][: len(b[i]) - 4 * n])
+                sizes, data = _unpair(b[i])
+                sizes, data = _values(sizes, 4), _expand(data)
                 ends = np.cumsum(sizes)
                 ids = []
                 for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
@@ -167,8 +175,7 @@ def _encode(vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]
                         got = known[word] = np.array(encoding._encode_single_piece(word), dtype="<u4")
                     ids.append(got)
                 flat = np.concatenate(ids)
-                counts = _squeeze(np.array([len(x) for x in ids], dtype="<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes())
-                b[i] = len(counts).to_bytes(4, "little") + counts + _planes(flat, 3)
+                b[i] = _pair(_planes(np.array([len(x) for x in ids]), 3), _planes(flat, 3))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["block", "bucket", "a", "b"])
 
     return run
@@ -185,9 +192,9 @@ def _reassemble(vocabulary: str, with_ids: bool) -> Callable[[Iterator[pa.Record
             index, counts, flat = [], [], []
             for a, b in words:
                 index.append(np.cumsum(_values(a, 4)))
-                size = int.from_bytes(b[:4], "little")
-                counts.append(_values(b[4 : 4 + size], 3))
-                flat.append(_values(b[4 + size :], 3))
+                count, ids = _unpair(b)
+                counts.append(_values(count, 3))
+                flat.append(_values(ids, 3))
             n_words = sum(map(len, index))
             decimal: list[bytes] = [b""] * n_words
             decoded: list[bytes] = [b""] * n_words

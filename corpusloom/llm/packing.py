@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import write_table
 
 #: Pieces of text kept by a worker; beyond it the table starts anew.
-PIECES = 1_000_000
+PIECES = 400_000
 #: Bytes of text that are split at once.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Texts with characters beyond Latin-1, or with those that the tokenizer takes for marks and others for white space.
 _SLOW = "[^\\x00-\\x1b\\x20-\\x{ff}]"
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -123,8 +123,10 @@ class Encoder:
         index = coded.indices.to_numpy()
         n = sizes[index]
         after = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes)[index]
-        ids = flat[np.repeat(first - (after - n), n) + np.arange(int(after[-1]) if len(after) else 0)].tobytes()
+        shift = (np.cumsum(sizes) - sizes)[index] - (after - n)
+        at = np.repeat(shift.astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at].tobytes()
         bounds = 2 * np.concatenate([[0], after])[ends - ends[0]]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
