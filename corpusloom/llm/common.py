@@ -7,7 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.scratch import drop_table, shared_dir, write_table
 
-__all__ = ["drop_table", "shared_dir", "table", "texts_of", "write_table"]
+__all__ = ["drop_table", "shared_dir", "short_batches", "table", "texts_of", "write_table"]
+
+#: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of whole texts; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

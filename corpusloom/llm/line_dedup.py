@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import write_table
+from corpusloom.llm.common import short_batches, write_table
 
 MIN_WORDS = 50
 
@@ -127,6 +127,7 @@ def pairs(docs: DataFrame, min_words: int) -> DataFrame:
             at = pa.array(which, type=pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(key, type=pa.binary()), batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(first, type=pa.int32()), pa.array(end, type=pa.int32())], names=["key", "doc_id", "text_hash", "first", "end"])
 
+    short_batches(docs.sparkSession)
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # read twice below: written, so that texts are cut once
     keys, _ = write_table(source.mapInArrow(run, "key binary, doc_id long, text_hash long, first int, end int"), "line-keys")

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import short_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
@@ -249,7 +251,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _in_parts(texts: list[str], most: int = 8 << 20) -> Iterator[list[str]]:
+def _in_parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     at = 0
     while at < len(texts):
         to, held = at, 0
@@ -262,6 +264,7 @@ def _in_parts(texts: list[str], most: int = 8 << 20) -> Iterator[list[str]]:
 
 def digest(docs: DataFrame, model: Field) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans."""
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def tagged(found: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -288,6 +291,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, model: Field) -> DataFrame:
     """The columns of ``docs`` with the spans of ``text`` replaced by their kinds."""
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(found: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import write_table
+from corpusloom.llm.common import short_batches, write_table
 from corpusloom.llm.components import components, local_forest
 
 #: An anchor with more homes than this is dealt out over salts.
@@ -106,6 +106,7 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
     """doc_id and the fingerprint as signed 64-bit lanes f0, f1, ...; one narrow pass."""
     lanes = layout.lanes
+    short_batches(docs.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -242,7 +243,7 @@ class _Anchors:
 
     def block(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
         """All of a against all of b, in blocks."""
-        step = max(1, (1 << 20) // max(1, len(b[0])))
+        step = max(1, (1 << 19) // max(1, len(b[0])))
         for at in range(0, len(a[0]), step):
             part = a[0][at : at + step], a[1][at : at + step]
             i = np.repeat(np.arange(len(part[0])), len(b[0]))
@@ -270,7 +271,7 @@ class _Anchors:
         small = np.flatnonzero((n_home > 0) & (ends - starts > 1) & (work <= 1 << 18))
         at = 0
         while at < len(small):
-            to = at + max(1, int(np.searchsorted(np.cumsum(work[small[at:]]), 1 << 21)))
+            to = at + max(1, int(np.searchsorted(np.cumsum(work[small[at:]]), 1 << 19)))
             s = small[at:to]
             size = ends[s] - starts[s]
             pairs = n_home[s] * size

@@ -24,6 +24,7 @@ empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import short_batches
+
 WORD = re.compile(r"[^\W_]+")
 #: Bounds of the training sample: documents of each label, and code points of a document.
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 20_000
@@ -42,7 +45,7 @@ FIT_TOKENS = 200_000
 DIMENSION = 1 << 18
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 def features(word: str) -> list[int]:
@@ -247,7 +250,7 @@ def _fit_chain(sequences: list[list[str]], marks: set[str], steps: int = 40) ->
 def fit(texts: list[str], labels: list[int]) -> Field:
     """Fit field and curve on labelled texts."""
     y = np.array(labels, dtype=np.float64)
-    words = [words_of(t) for t in texts]
+    words = [list(map(sys.intern, words_of(t))) for t in texts]
     share = (y.sum() + 1) / (len(y) + 2)
     nothing = Field(np.zeros(DIMENSION), -6.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
     if not 0 < y.sum() < len(y):
@@ -312,6 +315,8 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
 
 def score(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_toxicity``: struct(score double, predicted int, spans)."""
+    short_batches(docs.sparkSession)
+
     @F.pandas_udf("score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
     def tagged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -320,7 +325,7 @@ def score(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
             at = 0
             while at < len(texts):
                 to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) < 4 << 20):
+                while to < len(texts) and (to == at or held + len(texts[to]) < 1 << 20):
                     held += len(texts[to])
                     to += 1
                 tags = model.tag(texts[at:to])
