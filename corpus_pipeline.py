@@ -31,9 +31,9 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more; the smallest doc_id stays, once."""
-    found = simhash.near_duplicates(docs, words=5, layout=simhash.WIDE)
+    found = simhash.similar_documents(docs, words=5, least=0.8)
     # rows with a null doc_id have no identity to choose by, and stay
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     named = docs.where("doc_id is not null")
     first = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi").withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -11,13 +11,16 @@ __all__ = ["drop_table", "shared_dir", "short_batches", "table", "texts_of", "wr
 
 #: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
 BATCH_ROWS = 2000
+#: Bytes of such a batch, likewise.
+BATCH_BYTES = 8 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds of whole texts; a session's own setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, str(value))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

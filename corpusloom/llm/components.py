@@ -18,28 +18,58 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import drop_table, write_table
 
 
-def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) with node > root for all nodes that some edge joins; roots are the least of their component."""
-    if not len(u):
-        return u, v
-    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = back[: len(u)], back[len(u) :]
-    root = np.arange(len(nodes))
+def _contracted(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after joining a[k] and b[k] for all k; the least of a component is its root."""
     while True:
         ra, rb = root[a], root[b]
         low, high = np.minimum(ra, rb), np.maximum(ra, rb)
         if (low == high).all():
-            break
+            return root
         np.minimum.at(root, high, low)
         while True:
             up = root[root]
             if (up == root).all():
                 break
             root = up
+
+
+def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) with node > root for all nodes that some edge joins; roots are the least of their component."""
+    if not len(u):
+        return u, v
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = _contracted(np.arange(len(nodes)), back[: len(u)], back[len(u) :])
     keep = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[keep], nodes[root[keep]]
 
 
+def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of the least spanning forest, by (weight, smaller end, larger end); Boruvka's rounds.
+
+    An edge that a part of a graph leaves out is the largest of a circle, so the forests of all parts hold the whole graph's.
+    """
+    if not len(u):
+        return u, v, weight
+    low, high = np.minimum(u, v), np.maximum(u, v)
+    order = np.lexsort((high, low, weight))
+    low, high, weight = low[order], high[order], weight[order]
+    nodes, back = np.unique(np.concatenate([low, high]), return_inverse=True)
+    a, b = back[: len(low)], back[len(low) :]
+    root, taken, left = np.arange(len(nodes)), np.zeros(len(low), dtype=bool), np.arange(len(low))
+    while True:
+        ra, rb = root[a[left]], root[b[left]]
+        apart = ra != rb
+        left, ra, rb = left[apart], ra[apart], rb[apart]
+        if not len(left):
+            return low[taken], high[taken], weight[taken]
+        least = np.full(len(nodes), len(low))
+        np.minimum.at(least, ra, left)
+        np.minimum.at(least, rb, left)
+        chosen = np.unique(least[least < len(low)])
+        taken[chosen] = True
+        root = _contracted(root, a[chosen], b[chosen])
+
+
 def _contract(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     u, v = [], []
     held = 0

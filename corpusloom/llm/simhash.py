@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches, write_table
-from corpusloom.llm.components import components, local_forest
+from corpusloom.llm.common import drop_table, short_batches, write_table
+from corpusloom.llm.components import components, local_forest, spanning_forest
 
 #: An anchor with more homes than this is dealt out over salts.
 HOT_HOMES = 4096
@@ -67,10 +67,10 @@ class Layout:
 
 #: 64 bits, at most 3 differing: two blocks of 32 bits, one of which differs by at most 1.  Exact.
 NARROW = Layout(lanes=1, code=31, raw=1, reach=1, most=3)
-#: 256 bits, at most 45 differing, which is a share of 0.8 or more of common shingles (the angle of such
+#: 256 bits, at most 54 differing: candidates for a share of 0.8 or more of common shingles (the angle of such
 #: texts gives 38.8 bits, with a deviation of 5.7).  16 blocks of 16 bits with threshold 1: a pair at
-#: 39 bits meets in some block with probability 0.995, closer pairs more surely.
-WIDE = Layout(lanes=4, code=15, raw=1, reach=1, most=45)
+#: 39 bits meets in some block with probability 0.995, closer pairs more surely.  An exact check follows.
+WIDE = Layout(lanes=4, code=15, raw=1, reach=1, most=54)
 
 
 def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
@@ -222,8 +222,8 @@ def _replicas(layout: Layout, hot: dict[int, int]) -> Callable[[Iterator[pa.Reco
 class _Anchors:
     """Compares the sorted rows of anchors, batch by batch, and keeps a forest of links."""
 
-    def __init__(self, layout: Layout) -> None:
-        self.layout, self.u, self.v, self.held = layout, [], [], 0
+    def __init__(self, layout: Layout, real: bool = False) -> None:
+        self.layout, self.real, self.u, self.v, self.d, self.held = layout, real, [], [], [], 0
         self.key: tuple[int, int] | None = None  # of the anchor that the last batch ended in
         self.homes = self._none()
 
@@ -231,15 +231,17 @@ class _Anchors:
         return np.empty(0, dtype=np.int64), np.empty((0, self.layout.lanes), dtype=np.uint64)
 
     def link(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
-        near = np.bitwise_count(a[1][i] ^ b[1][j]).sum(1, dtype=np.int64) <= self.layout.most
+        apart = np.bitwise_count(a[1][i] ^ b[1][j]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(apart <= self.layout.most)
         x, y = a[0][i[near]], b[0][j[near]]
         keep = x != y
         self.u.append(x[keep])
         self.v.append(y[keep])
+        self.d.append(apart[near[keep]])
         self.held += int(keep.sum())
         if self.held > 1 << 20:
-            x, y = local_forest(np.concatenate(self.u), np.concatenate(self.v))
-            self.u, self.v, self.held = [x], [y], len(x) // 2
+            x, y = self.forest()
+            self.held = len(x) // 2
 
     def block(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
         """All of a against all of b, in blocks."""
@@ -286,14 +288,18 @@ class _Anchors:
         self.key, self.homes = (int(anchor[-1]), int(salt[-1])), own
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links so far: a star forest, or with ``real`` the least spanning forest of the links themselves."""
         if not self.u:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        return local_forest(np.concatenate(self.u), np.concatenate(self.v))
+        u, v, d = np.concatenate(self.u), np.concatenate(self.v), np.concatenate(self.d)
+        u, v, d = spanning_forest(u, v, d) if self.real else (*local_forest(u, v), d[:0])
+        self.u, self.v, self.d = [u], [v], [d]
+        return u, v
 
 
-def _compare(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(layout: Layout, real: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = _Anchors(layout)
+        anchors = _Anchors(layout, real)
         for batch in found:
             anchors.add(batch)
         u, v = anchors.forest()
@@ -303,13 +309,16 @@ def _compare(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def links(distinct: DataFrame, layout: Layout) -> DataFrame:
-    """A forest (u, v) over the nodes of ``distinct`` (node long, f0 ...) whose trees are the classes of linked fingerprints."""
+def links(distinct: DataFrame, layout: Layout, real: bool = False) -> DataFrame:
+    """A forest (u, v) over the nodes of ``distinct`` (node long, f0 ...) whose trees are the classes of linked fingerprints.
+
+    With ``real`` its edges are links themselves, and hold a least spanning forest by differing bits.
+    """
     homes = distinct.mapInArrow(_homes(layout), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_HOMES)
     hot = {int(r[0]): -(-int(r[1]) // HOT_HOMES) for r in homes.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()}
     lanes = ", ".join(f"f{k} long" for k in range(layout.lanes))
     rows = distinct.mapInArrow(_replicas(layout, hot), f"anchor long, salt int, member byte, node long, {lanes}")
-    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(_compare(layout), "u long, v long")
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(_compare(layout, real), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, layout: Layout = NARROW) -> DataFrame:
@@ -328,3 +337,77 @@ def near_duplicates(docs: DataFrame, words: int = 3, layout: Layout = NARROW) ->
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(least, "root").select(*lanes, "component_id")
     return prints.join(classes, lanes, "left").select("doc_id", *lanes, "component_id")
+
+
+# Exact check --------------------------------------------------------------------------
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a whole text's shingles, sorted; fewer words are one shingle, none give nothing."""
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if len(w) < words:
+        found = [b" ".join(w)] if w else []
+    else:
+        found = map(b" ".join, zip(*(w[k : len(w) - words + 1 + k] for k in range(words)), strict=True))
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, found), dtype="<u4"))
+
+
+def _shingles(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column("text")], type=pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two shingle sets; two empty ones are alike."""
+    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _alike(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            pairs = zip(batch.column("a"), batch.column("b"), strict=True)
+            keep = pa.array([jaccard(a.as_py(), b.as_py()) >= least for a, b in pairs], type=pa.bool_())
+            yield batch.select(["u", "v"]).filter(keep)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layout: Layout = WIDE) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id reachable over links of similarity ``least`` or more.
+
+    Candidates are links of fingerprints; of each anchor's links the least spanning forest,
+    at most one link a fingerprint, is checked on the whole sets of shingles.  So no group
+    of near copies makes pairs of all its rows, and what is linked is truly similar; a
+    similar pair whose forest path holds a pair below ``least`` in every anchor stays apart.
+    Equal fingerprints count as similar.  Rows with a null doc_id are left out, and rows of
+    one doc_id are one document.
+    """
+    lanes = [f"f{k}" for k in range(layout.lanes)]
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints, _ = write_table(fingerprints(named, words, layout), "fingerprints")
+    distinct, distinct_at = write_table(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")).select("node", *lanes), "distinct")
+    found, found_at = write_table(links(distinct, layout, real=True).distinct(), "candidates")
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = named.join(ends, named["doc_id"] == ends["node"]).select("node", "text")
+    short_batches(docs.sparkSession)
+    sets, sets_at = write_table(texts.mapInArrow(_shingles(words), "node long, shingles binary"), "shingles")
+    first = found.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = first.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
+    # rows of one doc_id share it, whatever their fingerprints
+    own = prints.join(distinct, lanes).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    edges, edges_at = write_table(both.mapInArrow(_alike(least), "u long, v long").unionAll(own), "similar")
+    roots = components(edges)
+    for path in (distinct_at, found_at, sets_at, edges_at):
+        drop_table(docs.sparkSession, path)
+    return prints.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, bpe, chat, line_dedup, media_ts, packing, pii, simhash, toxicity, url_filter
+from corpusloom.llm.components import spanning_forest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -141,6 +142,57 @@ def test_near_duplicates_whole(docs, texts):
     assert sorted((str(r.doc_id), r.f0 % (1 << 64), str(r.component_id)) for r in found) == want
 
 
+def test_spanning_forest_is_least():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (2, 1), (30, 200), (200, 150)):
+        u, v, w = rng.integers(0, max(n, 1), m), rng.integers(0, max(n, 1), m), rng.integers(0, 9, m)
+        u, v, w = u[u != v], v[u != v], w[u != v]
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        want = []
+        for d, a, b in sorted(zip(w.tolist(), np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True)):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                want.append((d, a, b))
+        a, b, d = spanning_forest(u, v, w)
+        assert sorted(zip(d.tolist(), a.tolist(), b.tolist(), strict=True)) == sorted(want)
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for copy in range(5):
+            own = list(words)
+            for at in rng.choice(150, [0, 1, 2, 6, 14][copy], replace=False):
+                own[at] = f"x{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(own)))
+    n = len(rows)
+    rows += [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "one two"), (0, rows[0][1]), (0, "another text under the same number"), (None, rows[3][1])]
+    sets = [(k, simhash.shingle_set(t, 5).tobytes()) for k, t in rows if k is not None]
+    root = {k: k for k, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (k, a) in enumerate(sets):
+        for j, b in sets[:i]:
+            if simhash.jaccard(a, b) >= 0.8:
+                x, y = sorted((find(k), find(j)))
+                root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).repartition(3)
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()} == {(k, find(k)) for k in root}
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
 def test_wide_layout_finds_similar_texts(spark):
     rng = random.Random(9)
     rows, n = [], 40
@@ -483,7 +535,7 @@ def test_search_against_all_pairs(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(n, None), (n + 1, []), (n + 2, [0.0] * 32), (n + 3, [float("nan")] * 32), (n + 4, [None] * 32), (None, x[5].tolist()), (n + 5, [float("inf")] + [1.0] * 31), (0, x[0].tolist()), (n + 6, [1.0, 2.0])]
     vectors = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, score int")
-    found = ann.search(vectors, vectors.where("vec_id % 50 = 0"), 5, ann.Params(stretch=700)).collect()
+    found = ann.search(vectors, vectors.where("vec_id % 50 = 0"), 5, ann.Params(stretch=700, asked=9)).collect()
     d = x.astype("f8")
     u = d / np.sqrt((d * d).sum(1, keepdims=True))
     hits = 0
