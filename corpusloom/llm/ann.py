@@ -7,8 +7,9 @@ there by the footrule distance of the permutations, and the best of every stretc
 file are ranked again by the exact cosine of the original vectors, in double precision.
 
 Files are read in stretches: a pivot's file is dealt out over as many salts as its
-length asks for, and queries go to each of them in blocks, so no task holds a whole
-file, however hot its pivot.  A pair that meets in several files is ranked only in the
+length asks for, and its queries likewise over blocks; each block of queries meets each
+stretch in a task of its own, so no task holds a whole file or all its queries, however
+hot its pivot.  A pair that meets in several files is ranked only in the
 first file that both have in common.  The best ``k`` of every stretch are reduced to
 the best ``k`` of the query by an aggregation with partial results.
 
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import write_table
@@ -35,7 +36,7 @@ from corpusloom.llm.common import write_table
 
 @dataclass(frozen=True)
 class Params:
-    """pivots and sample: bound of the fit; posted: files a vector is in; footrule: nearest pivots whose places count; again: share of a stretch that is ranked again (at least ``least``); stretch: rows of a file in one task."""
+    """pivots and sample: bound of the fit; posted: files a vector is in; footrule: nearest pivots whose places count; again: share of a stretch that is ranked again (at least ``least``); stretch: rows of a file in one task; asked: queries of a file in one task; block: queries ranked at a time."""
 
     pivots: int = 64
     sample: int = 4096
@@ -44,6 +45,7 @@ class Params:
     again: float = 0.6
     least: int = 64
     stretch: int = 20_000
+    asked: int = 20_000
     block: int = 64
 
 
@@ -93,8 +95,8 @@ def places(perm: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _post(pivots: np.ndarray, params: Params, salts: dict[int, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings (file, salt, vec_id, embedding): a vector goes to one salt of each of its files, a query (``salts`` given) to all."""
+def _post(pivots: np.ndarray, params: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings (file, vec_id, embedding) of vectors or queries."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -107,13 +109,7 @@ def _post(pivots: np.ndarray, params: Params, salts: dict[int, int] | None) -> C
             perm = permutation(_unit(x), pivots)[:, : params.posted]
             row = np.repeat(np.arange(len(where)), perm.shape[1])
             file = perm.ravel().astype(np.int32)
-            if salts is not None:
-                n = np.array([salts.get(int(f), 0) for f in file], dtype=np.int64)
-                salt = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-                row, file = np.repeat(row, n), np.repeat(file, n)
-            else:
-                salt = np.zeros(len(row), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(salt), pa.array(ids[where[row]]), batch.column("embedding").take(pa.array(where[row]))], names=["file", "salt", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(ids[where[row]]), batch.column("embedding").take(pa.array(where[row]))], names=["file", "vec_id", "embedding"])
 
     return run
 
@@ -174,15 +170,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
     out = "query_id long, rank int, vec_id long, score double"
     if not pivots.size:
         return spark.createDataFrame([], out)
-    schema = "file int, salt int, vec_id long, embedding array<double>"
-    posted = rows.mapInArrow(_post(pivots, params, None), schema)
-    # one count for each pivot reaches the driver
-    lengths = {int(r[0]): int(r[1]) for r in rows.mapInArrow(_post(pivots, params, None), schema).groupBy("file").count().collect()}
-    salts = {f: -(-n // params.stretch) for f, n in lengths.items()}
-    salt_of = F.create_map(*(F.lit(x) for f, n in salts.items() for x in (f, n)))
-    posted = posted.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salt_of[F.col("file")]).cast("int"))
-    asked = usable(queries).mapInArrow(_post(pivots, params, salts), schema)
-    found = asked.groupBy("file", "salt").cogroup(posted.groupBy("file", "salt")).applyInPandas(_rank(pivots, k, params), _FOUND)
+    post, schema = _post(pivots, params), "file int, vec_id long, embedding array<double>"
+    posted, asked = rows.mapInArrow(post, schema), usable(queries).mapInArrow(post, schema)
+
+    def dealt(postings: DataFrame, most: int) -> Column:
+        """Parts of each file; one count for each pivot reaches the driver."""
+        counts = {int(r[0]): int(r[1]) for r in postings.groupBy("file").count().collect()}
+        parts = F.create_map(*(F.lit(x) for f in range(len(pivots)) for x in (f, max(1, -(-counts.get(f, 0) // most)))))
+        return parts[F.col("file")]
+
+    salts, blocks = dealt(posted, params.stretch), dealt(asked, params.asked)
+    part = F.xxhash64("vec_id")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    posted = posted.withColumn("salt", F.pmod(part, salts).cast("int")).withColumn("asked", everywhere(blocks))
+    asked = asked.withColumn("asked", F.pmod(part, blocks).cast("int")).withColumn("salt", everywhere(salts))
+    key = ("file", "salt", "asked")
+    found = asked.groupBy(*key).cogroup(posted.groupBy(*key)).applyInPandas(_rank(pivots, k, params), _FOUND)
     # the best score of a vec_id first, then the best k, partially in each task
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("top"))
