@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import write_table
+from corpusloom.llm.common import drawn, write_table
 
 
 @dataclass(frozen=True)
@@ -62,12 +62,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, params: Params = DEFAULT) -> np.ndarray:
     """Pivots: unit vectors far apart, taken greedily from a sample drawn by a hash of vec_id."""
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(params.sample).collect()
-    if not drawn:
+    found = drawn(rows, params.sample, "vec_id", "embedding").collect()
+    if not found:
         return np.empty((0, 0))
-    sizes = [len(r[1]) for r in drawn]
+    sizes = [len(r[1]) for r in found]
     width = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    x = _unit(np.array([r[1] for r in drawn if len(r[1]) == width]))
+    x = _unit(np.array([r[1] for r in found if len(r[1]) == width]))
     x = np.unique(x.round(12), axis=0)
     picked = [0]
     near = x @ x[0]

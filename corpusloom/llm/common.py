@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.scratch import drop_table, shared_dir, write_table
 
-__all__ = ["drop_table", "shared_dir", "short_batches", "table", "texts_of", "write_table"]
+__all__ = ["drawn", "drop_table", "shared_dir", "short_batches", "table", "texts_of", "write_table"]
 
 #: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
 BATCH_ROWS = 2000
@@ -30,3 +31,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drawn(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """A bounded sample for a fit: the ``n`` rows with the least hash of ``by``.
+
+    A count comes first, and only rows below the hash that some 4 * n rows fall under are
+    sorted, so what the partitions send to the driver does not grow with their number.
+    """
+    total, place = rows.count(), F.shiftrightunsigned(F.xxhash64(*by), 11)
+    if total > 4 * n:
+        rows = rows.where(place < float(1 << 53) * 4 * n / total)
+    return rows.orderBy(place, *by).limit(n)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches
+from corpusloom.llm.common import drawn, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample.
@@ -229,8 +229,9 @@ def fit(texts: list[str], steps: int = 150) -> Field:
 
 
 def train(docs: DataFrame) -> Field:
-    """Fit on a bounded sample: documents with a digit or at sign, drawn by a hash of the text."""
-    rows = docs.select("text").where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()
+    """Fit on a bounded sample: documents with a digit or at sign, drawn by a hash of doc_id and text."""
+    known = docs.select("doc_id", "text").where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
+    rows = drawn(known, SAMPLE_DOCS, "doc_id", "text").select("text").collect()
     return fit([r[0] for r in rows])
 
 

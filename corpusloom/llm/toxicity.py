@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches
+from corpusloom.llm.common import drawn, short_batches
 
 WORD = re.compile(r"[^\W_]+")
 #: Bounds of the training sample: documents of each label, and code points of a document.
@@ -289,8 +289,8 @@ def fit(texts: list[str], labels: list[int]) -> Field:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """A bounded training sample: documents whose doc_id has crc32 mod 5 other than 0, drawn by a hash of doc_id."""
     marked = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    drawn = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect() for k, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
-    toxic = {int(r[0]): int(r[1]) for part in drawn for r in part}
+    found = [drawn(marked.where(F.col("toxic") == k), n, "doc_id").collect() for k, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
+    toxic = {int(r[0]): int(r[1]) for part in found for r in part}
     if not toxic:
         return [], []
     ids = docs.sparkSession.createDataFrame([(k,) for k in sorted(toxic)], "wanted long")  # at most TOXIC_DOCS + CLEAN_DOCS rows

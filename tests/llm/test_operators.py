@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, bpe, chat, line_dedup, media_ts, packing, pii, simhash, toxicity, url_filter
+from corpusloom.llm.common import drawn
 from corpusloom.llm.components import spanning_forest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -523,6 +524,13 @@ def test_media_rows(docs):
         assert hashlib.sha256(back.payload).hexdigest() == r.payload_sha256 and r.tail_crc32 == zlib.crc32(back.payload[-16:]) and r.media_bytes == len(r.media)
 
 
+def test_sample_is_the_least_hashes(spark):
+    rows = spark.range(0, 20_000, 1, 9).withColumnRenamed("id", "doc_id")
+    want = [r[0] for r in rows.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id").limit(50).collect()]
+    assert [r[0] for r in drawn(rows, 50, "doc_id").collect()] == want
+    assert drawn(rows, 30_000, "doc_id").count() == 20_000 and drawn(rows.limit(0), 5, "doc_id").count() == 0
+
+
 # Search --------------------------------------------------------------------------------
 
 
