@@ -36,10 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drawn(rows: DataFrame, n: int, *by: str) -> DataFrame:
     """A bounded sample for a fit: the ``n`` rows with the least hash of ``by``.
 
-    A count comes first, and only rows below the hash that some 4 * n rows fall under are
+    A count comes first, and only rows below the hash that some 2 * n rows fall under are
     sorted, so what the partitions send to the driver does not grow with their number.
     """
     total, place = rows.count(), F.shiftrightunsigned(F.xxhash64(*by), 11)
-    if total > 4 * n:
-        rows = rows.where(place < float(1 << 53) * 4 * n / total)
+    near = 2 * n + 100
+    if total > near:
+        rows = rows.where(place < float(1 << 53) * near / total)
     return rows.orderBy(place, *by).limit(n)
