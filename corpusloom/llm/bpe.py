@@ -37,7 +37,7 @@ from corpusloom.llm.common import texts_of
 
 #: A block ends after so many tokens.
 BLOCK_TOKENS = 1 << 23
-#: Hash classes of words in a bundle.
+#: Hash classes of words, at least; with more shuffle partitions there are as many as those.
 BUCKETS = 64
 
 # For texts without characters from U+0250 on, the pre-token pattern in plain classes;
@@ -112,7 +112,7 @@ def _int_list(values: list[int]) -> bytes:
     return _squeeze(np.array(values, dtype="<i8").tobytes())
 
 
-def _explode(pattern: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _explode(pattern: str, block_tokens: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (block, bucket, kind, a, b): for bucket -1 the documents and positions of a block, else its words of that bucket."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +128,8 @@ def _explode(pattern: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBat
             rank = np.empty(len(order), dtype=np.uint32)
             rank[order] = np.arange(len(order))
             encoded = [words[k].encode() for k in order]
-            bucket = np.array([zlib.crc32(w) % BUCKETS for w in encoded], dtype=np.int64)
-            rows = [(block, -1, -1 - ((block >> 32) + block) % BUCKETS, _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
+            bucket = np.array([zlib.crc32(w) % buckets for w in encoded], dtype=np.int64)
+            rows = [(block, -1, -1 - ((block >> 32) + block) % buckets, _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
             for k in np.unique(bucket):
                 mine = np.flatnonzero(bucket == k)
                 own = [encoded[i] for i in mine]
@@ -247,7 +247,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
 
     ``vocabulary`` names a file of base64 tokens with their ranks that every worker has.
     """
-    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode(pattern, block_tokens), "block long, bucket int, deal int, a binary, b binary")
-    ids = exploded.repartition(BUCKETS, "deal").mapInArrow(_encode(vocabulary, pattern), "block long, bucket int, a binary, b binary")
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode(pattern, block_tokens, buckets), "block long, bucket int, deal int, a binary, b binary")
+    ids = exploded.repartition(buckets, "deal").mapInArrow(_encode(vocabulary, pattern), "block long, bucket int, a binary, b binary")
     blocks = ids.repartition("block").sortWithinPartitions("block", "bucket")
     return blocks.mapInArrow(_reassemble(vocabulary, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
