@@ -40,6 +40,8 @@ from corpusloom.llm.components import components, local_forest, spanning_forest
 HOT_HOMES = 4096
 #: At most so many anchors are looked up as hot; the others are compared unsalted, with the same result.
 HOT_ANCHORS = 1024
+#: A group of open candidates is checked in blocks of about so many documents, or bytes of shingle sets.
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,7 @@ def _homes(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _replicas(layout: Layout, hot: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _replicas(layout: Layout, hot: dict[int, int], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     hot_keys = np.array(sorted(hot), dtype=np.int64)
     hot_salts = np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
 
@@ -196,6 +198,7 @@ def _replicas(layout: Layout, hot: dict[int, int]) -> Callable[[Iterator[pa.Reco
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 node = batch.column("node").to_numpy()
+                own = [batch.column(c).to_numpy() for c in names]
                 lanes = [batch.column(f"f{k}").to_numpy() for k in range(layout.lanes)]
                 unsigned = [x.view(np.uint64) for x in lanes]
                 for k, block in enumerate(blocks_of(unsigned, layout)):
@@ -214,27 +217,27 @@ def _replicas(layout: Layout, hot: dict[int, int]) -> Callable[[Iterator[pa.Reco
                             mine = (node[i[row]] % salts[row]) == salt
                             member = np.where(mine, member[row], 1).astype(np.int8)
                             i, key = i[row], key[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(member), pa.array(node[i]), *(pa.array(x[i]) for x in lanes)], names=["anchor", "salt", "member", "node", *(f"f{k}" for k in range(layout.lanes))])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(member), *(pa.array(x[i]) for x in own)], names=["anchor", "salt", "member", *names])
 
     return run
 
 
 class _Anchors:
-    """Compares the sorted rows of anchors, batch by batch, and keeps a forest of links."""
+    """Compares the sorted rows of anchors, batch by batch, and keeps a forest of links between different roots (nodes, where no roots are given)."""
 
     def __init__(self, layout: Layout, real: bool = False) -> None:
         self.layout, self.real, self.u, self.v, self.d, self.held = layout, real, [], [], [], 0
         self.key: tuple[int, int] | None = None  # of the anchor that the last batch ended in
         self.homes = self._none()
 
-    def _none(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.empty(0, dtype=np.int64), np.empty((0, self.layout.lanes), dtype=np.uint64)
+    def _none(self) -> tuple[np.ndarray, ...]:
+        return np.empty(0, dtype=np.int64), np.empty((0, self.layout.lanes), dtype=np.uint64), np.empty(0, dtype=np.int64)
 
-    def link(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
+    def link(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> None:
         apart = np.bitwise_count(a[1][i] ^ b[1][j]).sum(1, dtype=np.int64)
         near = np.flatnonzero(apart <= self.layout.most)
         x, y = a[0][i[near]], b[0][j[near]]
-        keep = x != y
+        keep = a[2][i[near]] != b[2][j[near]]
         self.u.append(x[keep])
         self.v.append(y[keep])
         self.d.append(apart[near[keep]])
@@ -243,11 +246,11 @@ class _Anchors:
             x, y = self.forest()
             self.held = len(x) // 2
 
-    def block(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
+    def block(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> None:
         """All of a against all of b, in blocks."""
         step = max(1, (1 << 19) // max(1, len(b[0])))
         for at in range(0, len(a[0]), step):
-            part = a[0][at : at + step], a[1][at : at + step]
+            part = tuple(x[at : at + step] for x in a)
             i = np.repeat(np.arange(len(part[0])), len(b[0]))
             self.link(part, b, i, np.tile(np.arange(len(b[0])), len(part[0])))
 
@@ -256,20 +259,22 @@ class _Anchors:
         if not len(anchor):
             return
         home = batch.column("member").to_numpy() == 0
-        rows = batch.column("node").to_numpy(), np.column_stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(self.layout.lanes)])
+        node = batch.column("node").to_numpy()
+        root = batch.column("root").to_numpy() if "root" in batch.schema.names else node
+        rows = node, np.column_stack([batch.column(f"f{k}").to_numpy().view(np.uint64) for k in range(self.layout.lanes)]), root
         cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(anchor)]])
         run = np.repeat(np.arange(len(starts)), ends - starts)
         n_home = np.bincount(run[home], minlength=len(starts))
         if self.key == (int(anchor[0]), int(salt[0])):  # the first anchor goes on
-            self.block(self.homes, (rows[0][: ends[0]], rows[1][: ends[0]]))
+            self.block(self.homes, tuple(x[: ends[0]] for x in rows))
             carried = self.homes
         else:
             carried = self._none()
         work = n_home * (ends - starts)
         for k in np.flatnonzero(work > 1 << 18):  # large anchors one by one, small ones together
             a, h, b = starts[k], starts[k] + n_home[k], ends[k]
-            self.block((rows[0][a:h], rows[1][a:h]), (rows[0][a:b], rows[1][a:b]))
+            self.block(tuple(x[a:h] for x in rows), tuple(x[a:b] for x in rows))
         small = np.flatnonzero((n_home > 0) & (ends - starts > 1) & (work <= 1 << 18))
         at = 0
         while at < len(small):
@@ -282,9 +287,9 @@ class _Anchors:
             self.link(rows, rows, starts[s][r] + nth // size[r], starts[s][r] + nth % size[r])
             at = to
         last = starts[-1]
-        own = rows[0][last:][home[last:]], rows[1][last:][home[last:]]
+        own = tuple(x[last:][home[last:]] for x in rows)
         if len(starts) == 1 and len(carried[0]):
-            own = np.concatenate([carried[0], own[0]]), np.concatenate([carried[1], own[1]])
+            own = tuple(np.concatenate([x, y]) for x, y in zip(carried, own, strict=True))
         self.key, self.homes = (int(anchor[-1]), int(salt[-1])), own
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
@@ -313,11 +318,12 @@ def links(distinct: DataFrame, layout: Layout, real: bool = False) -> DataFrame:
     """A forest (u, v) over the nodes of ``distinct`` (node long, f0 ...) whose trees are the classes of linked fingerprints.
 
     With ``real`` its edges are links themselves, and hold a least spanning forest by differing bits.
+    With a column ``root``, only links between different roots count.
     """
     homes = distinct.mapInArrow(_homes(layout), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_HOMES)
     hot = {int(r[0]): -(-int(r[1]) // HOT_HOMES) for r in homes.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()}
-    lanes = ", ".join(f"f{k} long" for k in range(layout.lanes))
-    rows = distinct.mapInArrow(_replicas(layout, hot), f"anchor long, salt int, member byte, node long, {lanes}")
+    names = ["node", *(["root"] if "root" in distinct.columns else []), *(f"f{k}" for k in range(layout.lanes))]
+    rows = distinct.mapInArrow(_replicas(layout, hot, names), ", ".join(["anchor long, salt int, member byte", *(f"{c} long" for c in names)]))
     return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(_compare(layout, real), "u long, v long")
 
 
@@ -383,13 +389,57 @@ def _alike(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _between(layout: Layout, least: float) -> Callable[[pa.Table], pa.Table]:
+    """Checks all candidates between different roots in a pair of blocks; gives the similar ones that join roots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        lanes = [table.column(f"f{k}").to_numpy().view(np.uint64) for k in range(layout.lanes)]
+        prints, blocks = np.column_stack(lanes), np.column_stack(blocks_of(lanes, layout))
+        homes = np.column_stack([b ^ _flip(_syndrome(b, layout.code)) for b in blocks.T])
+        sets = table.column("shingles").to_pylist()
+        size = np.array([len(s) for s in sets])
+        root = np.unique(root, return_inverse=True)[1]
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        u, v = [], []
+        for i in left:
+            c = right[right > i] if x == y else right
+            c = c[root[c] != root[i]]
+            # of sets that differ so much in size none are similar
+            low, high = np.minimum(size[c], size[i]), np.maximum(size[c], size[i])
+            c = c[low / np.maximum(high, 1) >= least * (high > 0)]
+            apart = np.bitwise_count(prints[c] ^ prints[i]).sum(1, dtype=np.int64)
+            order = np.argsort(apart, kind="stable")
+            c = c[order[apart[order] <= layout.most]]
+            # they meet where one's home is in the other's reach
+            away = np.minimum(np.bitwise_count(homes[c] ^ blocks[i]), np.bitwise_count(blocks[c] ^ homes[i]))
+            for j in c[(away <= 1 + layout.reach).any(1)]:
+                if root[i] != root[j] and jaccard(sets[i], sets[j]) >= least:
+                    u.append(node[i])
+                    v.append(node[j])
+                    root[root == root[j]] = root[i]
+        return pa.table({"u": pa.array(u, type=pa.int64()), "v": pa.array(v, type=pa.int64())})
+
+    return run
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (group, node, shingles, ...) with part, x, y: each two rows of a group meet in one (x, y), of bounded size."""
+    sizes = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = rows.join(sizes.withColumn("parts", F.greatest("parts", F.lit(1))), "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other")
+
+
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layout: Layout = WIDE) -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable over links of similarity ``least`` or more.
 
-    Candidates are links of fingerprints; of each anchor's links the least spanning forest,
-    at most one link a fingerprint, is checked on the whole sets of shingles.  So no group
-    of near copies makes pairs of all its rows, and what is linked is truly similar; a
-    similar pair whose forest path holds a pair below ``least`` in every anchor stays apart.
+    Candidates are links of fingerprints.  First the least spanning forest of each task's
+    links is checked on the whole sets of shingles, which joins most of what is similar;
+    then all candidates whose ends are still apart are, block by block within their group.
+    So a group of near copies makes no table of all its pairs, no candidate stays
+    unchecked, and the result does not depend on partitions.
     Equal fingerprints count as similar.  Rows with a null doc_id are left out, and rows of
     one doc_id are one document.
     """
@@ -407,7 +457,20 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layou
     # rows of one doc_id share it, whatever their fingerprints
     own = prints.join(distinct, lanes).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
     edges, edges_at = write_table(both.mapInArrow(_alike(least), "u long, v long").unionAll(own), "similar")
-    roots = components(edges)
-    for path in (distinct_at, found_at, sets_at, edges_at):
+    roots, roots_at = write_table(components(edges), "roots")
+    # candidates that no forest held and whose ends are still apart
+    ended = distinct.join(ends, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes)
+    ended, ended_at = write_table(ended, "ended")
+    open_, open_at = write_table(links(ended, layout), "open")
+    paths = [distinct_at, found_at, sets_at, edges_at, ended_at, open_at]
+    if not open_.isEmpty():
+        groups = components(open_).select("node", F.col("root").alias("group"))
+        groups = groups.unionAll(groups.select(F.col("group").alias("node"), "group").distinct())
+        rows, rows_at = write_table(groups.join(ended, "node").join(sets, "node"), "groups")
+        more = _blocks(rows).groupBy("group", "x", "y").applyInArrow(_between(layout, least), "u long, v long")
+        more, more_at = write_table(more.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "joined")
+        roots, _ = write_table(components(more), "roots")
+        paths += [rows_at, more_at, roots_at]
+    for path in paths:
         drop_table(docs.sparkSession, path)
     return prints.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

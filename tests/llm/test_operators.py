@@ -194,6 +194,28 @@ def test_similar_documents_against_all_pairs(spark):
     assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [100, 1000])
+def test_candidates_outside_the_forest_are_checked(spark, n):
+    # each copy is similar to the first text, two copies seldom are, and some copies' prints are nearer to each other
+    rng = np.random.default_rng(n)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    texts = [" ".join(words)]
+    for _ in range(n):
+        own = list(words)
+        for at in rng.choice(300, 6, replace=False):
+            own[at] = f"x{rng.integers(0, 5000)}"
+        texts.append(" ".join(own))
+    sets = [simhash.shingle_set(t, 5).tobytes() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = dict((r[0], np.array(r[1:]).view(np.uint64)) for r in simhash.fingerprints(docs, 5, simhash.WIDE).collect())
+    apart = {k: int(np.bitwise_count(prints[0] ^ prints[k]).sum()) for k in range(1, n + 1)}
+    want = {k for k in apart if simhash.jaccard(sets[0], sets[k]) >= 0.8 and apart[k] <= 39}
+    assert len(want) > 0.4 * n
+    for parts in (1, 5):
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs.repartition(parts)).collect()}
+        assert {k for k in want if found[k] != 0} == set()
+
+
 def test_wide_layout_finds_similar_texts(spark):
     rng = random.Random(9)
     rows, n = [], 40
