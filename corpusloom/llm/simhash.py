@@ -25,7 +25,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,30 +75,49 @@ NARROW = Layout(lanes=1, code=31, raw=1, reach=1, most=3)
 WIDE = Layout(lanes=4, code=15, raw=1, reach=1, most=54)
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
-    """SimHash of a whole text over its shingles, as unsigned 64-bit words (seeds 42, 43, ...)."""
+def _hashes(text: str | None, words: int, lanes: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, a row for each of the lanes (seeds 42, 43, ...), in pieces; nothing for no words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     w = (text or "").encode().lower().split()
     if not w:
-        return [0] * lanes
+        return
     if len(w) < words:
         w = [b" ".join(w)]
         n = 1
     else:
         n = len(w) - words + 1
-    out = []
-    counts = np.zeros((lanes, 64), dtype=np.int64)
     for at in range(0, n, 1 << 16):
         part = w[at : at + (1 << 16) + words - 1] if n > 1 or len(w) > 1 else w
         shingles = list(map(b" ".join, zip(*(part[k : len(part) - words + 1 + k] for k in range(words)), strict=True))) if len(w) >= words else part
+        yield np.array([[digest(s, 42 + lane) for s in shingles] for lane in range(lanes)], dtype="<u8")
+
+
+def _print(pieces: Iterable[np.ndarray], lanes: int) -> list[int]:
+    counts, n = np.zeros((lanes, 64), dtype=np.int64), 0
+    for h in pieces:
+        n += h.shape[1]
         for lane in range(lanes):
-            h = np.array([digest(s, 42 + lane) for s in shingles], dtype="<u8")
-            counts[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    for lane in range(lanes):
-        out.append(int(np.packbits(counts[lane] * 2 > n).view("<u8")[0]))
-    return out
+            counts[lane] += np.unpackbits(np.ascontiguousarray(h[lane]).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return [int(np.packbits(counts[lane] * 2 > n).view("<u8")[0]) for lane in range(lanes)]
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
+    """SimHash of a whole text over its shingles, as unsigned 64-bit words (seeds 42, 43, ...)."""
+    return _print(_hashes(text, words, lanes), lanes)
+
+
+def set_fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[list[int], int]:
+    """SimHash over the distinct shingles, each once, and a hash of their set."""
+    import xxhash
+
+    own = np.empty((lanes, 0), dtype="<u8")
+    for h in _hashes(text, words, lanes):
+        own = np.concatenate([own, h], axis=1)
+        own = own[:, np.unique(own[0], return_index=True)[1]]
+    pieces = (own[:, at : at + (1 << 16)] for at in range(0, own.shape[1], 1 << 16))
+    return _print(pieces, lanes), xxhash.xxh64_intdigest(own[0].tobytes())
 
 
 def _signed(x: int) -> int:
@@ -118,6 +137,19 @@ def fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes))]))
 
 
+def set_fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
+    """Like :func:`fingerprints`, over distinct shingles, with the hash of their set as ``whole``."""
+    lanes = layout.lanes
+    short_batches(docs.sparkSession)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            f = [set_fingerprint(t.as_py(), words, lanes) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([_signed(x[k]) for x, _ in f], type=pa.int64()) for k in range(lanes)), pa.array([_signed(h) for _, h in f], type=pa.int64())], names=["doc_id", *(f"f{k}" for k in range(lanes)), "whole"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes)), "whole long"]))
+
+
 # Covering code -------------------------------------------------------------------------
 
 
@@ -440,14 +472,15 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layou
     then all candidates whose ends are still apart are, block by block within their group.
     So a group of near copies makes no table of all its pairs, no candidate stays
     unchecked, and the result does not depend on partitions.
-    Equal fingerprints count as similar.  Rows with a null doc_id are left out, and rows of
+    Fingerprints are of the distinct shingles; only equal sets of shingles count as similar
+    unchecked.  Rows with a null doc_id are left out, and rows of
     one doc_id are one document.
     """
     lanes = [f"f{k}" for k in range(layout.lanes)]
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints, _ = write_table(fingerprints(named, words, layout), "fingerprints")
-    distinct, distinct_at = write_table(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")).select("node", *lanes), "distinct")
-    found, found_at = write_table(links(distinct, layout, real=True).distinct(), "candidates")
+    prints, _ = write_table(set_fingerprints(named, words, layout), "fingerprints")
+    distinct, distinct_at = write_table(prints.groupBy(*lanes, "whole").agg(F.min("doc_id").alias("node")).select("node", *lanes, "whole"), "distinct")
+    found, found_at = write_table(links(distinct.select("node", *lanes), layout, real=True).distinct(), "candidates")
     ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = named.join(ends, named["doc_id"] == ends["node"]).select("node", "text")
     short_batches(docs.sparkSession)
@@ -455,7 +488,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layou
     first = found.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     both = first.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
     # rows of one doc_id share it, whatever their fingerprints
-    own = prints.join(distinct, lanes).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    own = prints.join(distinct, [*lanes, "whole"]).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
     edges, edges_at = write_table(both.mapInArrow(_alike(least), "u long, v long").unionAll(own), "similar")
     roots, roots_at = write_table(components(edges), "roots")
     # candidates that no forest held and whose ends are still apart

@@ -216,6 +216,18 @@ def test_candidates_outside_the_forest_are_checked(spark, n):
         assert {k for k in want if found[k] != 0} == set()
 
 
+def test_repeated_words_do_not_hide_what_differs(spark):
+    rng = random.Random(4)
+    fill = " fill" * 60
+    rows = [(k, prose(rng, 50) + fill) for k in range(20)]  # mostly one shingle, else nothing in common
+    line = prose(rng, 12)
+    text = prose(rng, 100) + " " + line
+    rows += [(100, f"{text} {line}"), (101, text + f" {line}" * 40)]  # one set of shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert found == {**{k: k for k in range(20)}, 100: 100, 101: 100}
+
+
 def test_wide_layout_finds_similar_texts(spark):
     rng = random.Random(9)
     rows, n = [], 40
