@@ -428,6 +428,30 @@ def test_field_adds_mentions_that_the_patterns_miss(spark):
     assert pii.tag(["", "no data at all", "in 2021 there were 12 of 300"], model)[1:] == [([], []), ([], [])]
 
 
+@pytest.mark.parametrize("before", [0, 20])
+def test_one_observed_mention_reaches_all_others(before):
+    card = next(c for c in (f"4{k:015d}" for k in range(10**6, 10**7)) if pii.luhn(c) and not pii.luhn(c + "27"))
+    hidden = f"then {card} 27 words "  # the digits run on, so the pattern misses it
+    text = hidden * before + f"pay {card} now and " + hidden * 20
+    base = pii.base_spans(text)
+    assert len(base) == 1
+    k = len(pii.KINDS) + 1
+    pairs = np.zeros((2, k, k))
+    pairs[1] = -4 * (1 - np.eye(k))
+    weights = np.zeros((pii.SHAPES, k))
+    weights[zlib.crc32(b"bias") % pii.SHAPES] = [1.0, -9.0, -9.0, 0.0, -9.0]  # odds against a card
+    model = pii.Field(weights, pairs)
+    g = pii.graph([text], [base])
+    assert len(g.edges) < 5 * len(g.doc)
+    p = model.marginals(g)
+    cards = [n for n, (a, b) in enumerate(g.span) if text[a:b] == card]
+    assert len(cards) == before + 21 and (p[cards, 3] >= pii.SURE).all()
+    assert abs(p - model.marginals(g, 4000)).max() < 1e-3
+    # a document's result does not depend on those beside it
+    both = pii.graph(["7 of 12", text], [[], base])
+    assert abs(model.marginals(both)[-len(p) :] - p).max() < 1e-9
+
+
 def test_digest_edges(docs):
     model = pii.fit(["a@b.com"])
     found = pii.digest(docs, model)
