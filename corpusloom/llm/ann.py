@@ -4,7 +4,9 @@ Pivots are drawn from a bounded sample.  A vector is represented by its permutat
 the pivots in order of their cosine with it, and is posted in the inverted files of its
 nearest pivots.  A query reads the files of its own nearest pivots, ranks what it finds
 there by the footrule distance of the permutations, and the best of every stretch of a
-file are ranked again by the exact cosine of the original vectors, in double precision.
+file are ranked again by the exact cosine of the original vectors, in double precision;
+rows at the same distance are ranked again together or not at all.  Of equal vectors only
+the ``k + 1`` smallest vec_ids are posted, in one stretch: no others can be among the best.
 
 Files are read in stretches: a pivot's file is dealt out over as many salts as its
 length asks for, and its queries likewise over blocks; each block of queries meets each
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import drawn, write_table
@@ -60,6 +62,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def smallest(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal vectors those with the ``k + 1`` smallest vec_ids (one may be the query itself)."""
+    nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
+
+
 def fit(rows: DataFrame, params: Params = DEFAULT) -> np.ndarray:
     """Pivots: unit vectors far apart, taken greedily from a sample drawn by a hash of vec_id."""
     found = drawn(rows, params.sample, "vec_id", "embedding").collect()
@@ -145,7 +153,7 @@ def _rank(pivots: np.ndarray, k: int, params: Params) -> Callable[[pd.DataFrame,
                 most = max(params.least, int(np.ceil(params.again * len(c))))
                 if len(c) > most:
                     foot = np.abs(v_place[c] - q_place[i]).sum(1, dtype=np.int32)
-                    c = c[np.argpartition(foot, most - 1)[:most]]
+                    c = c[foot <= np.partition(foot, most - 1)[most - 1]]
                 near = _cosine(q_raw[i], v_raw[c])
                 best = np.lexsort((v_id[c], -near))[: 4 * k]
                 seen: set[int] = set()
@@ -171,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
     if not pivots.size:
         return spark.createDataFrame([], out)
     post, schema = _post(pivots, params), "file int, vec_id long, embedding array<double>"
-    posted, asked = rows.mapInArrow(post, schema), usable(queries).mapInArrow(post, schema)
+    posted, asked = smallest(rows, k).mapInArrow(post, schema), usable(queries).mapInArrow(post, schema)
 
     def dealt(postings: DataFrame, most: int) -> Column:
         """Parts of each file; one count for each pivot reaches the driver."""
@@ -180,10 +188,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
         return parts[F.col("file")]
 
     salts, blocks = dealt(posted, params.stretch), dealt(asked, params.asked)
-    part = F.xxhash64("vec_id")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    posted = posted.withColumn("salt", F.pmod(part, salts).cast("int")).withColumn("asked", everywhere(blocks))
-    asked = asked.withColumn("asked", F.pmod(part, blocks).cast("int")).withColumn("salt", everywhere(salts))
+    posted = posted.withColumn("salt", F.pmod(F.xxhash64("embedding"), salts).cast("int")).withColumn("asked", everywhere(blocks))
+    asked = asked.withColumn("asked", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("salt", everywhere(salts))
     key = ("file", "salt", "asked")
     found = asked.groupBy(*key).cogroup(posted.groupBy(*key)).applyInPandas(_rank(pivots, k, params), _FOUND)
     # the best score of a vec_id first, then the best k, partially in each task

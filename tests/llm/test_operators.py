@@ -620,6 +620,20 @@ def test_search_against_all_pairs(spark):
     assert [r.vec_id for r in by[0]][:2] == [100, 150]
 
 
+def test_equal_vectors_are_not_cut(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = rng.normal(size=(n, 16)).astype("f4")
+    copies = np.sort(rng.choice(n, n // 3, replace=False))
+    x[copies] = x[copies[0]]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    asked = copies[[0, 2, 5, 400, 999]].tolist()
+    for params in (ann.DEFAULT, ann.Params(stretch=300)):
+        found = ann.search(vectors, vectors.where(F.col("vec_id").isin(asked)), 5, params).orderBy("query_id", "rank").collect()
+        for q in asked:
+            assert [r.vec_id for r in found if r.query_id == q] == [c for c in copies.tolist() if c != q][:5]
+
+
 def test_search_with_few_candidates(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     found = ann.search(v, v.where("vec_id = 0"), 5).orderBy("rank").collect()
