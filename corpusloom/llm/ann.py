@@ -155,12 +155,15 @@ def _rank(pivots: np.ndarray, k: int, params: Params) -> Callable[[pd.DataFrame,
                     foot = np.abs(v_place[c] - q_place[i]).sum(1, dtype=np.int32)
                     c = c[foot <= np.partition(foot, most - 1)[most - 1]]
                 near = _cosine(q_raw[i], v_raw[c])
-                best = np.lexsort((v_id[c], -near))[: 4 * k]
-                seen: set[int] = set()
-                for b in best:
-                    if int(v_id[c[b]]) not in seen and len(seen) < k:
-                        seen.add(int(v_id[c[b]]))
-                        out.append((int(q_id[i]), int(v_id[c[b]]), float(near[b])))
+                order = np.lexsort((v_id[c], -near))
+                most = 4 * k
+                while True:  # the best row of each vec_id, of as many rows as hold k of them
+                    best = order[:most]
+                    first = np.sort(np.unique(v_id[c[best]], return_index=True)[1])[:k]
+                    if len(first) == k or most >= len(order):
+                        break
+                    most *= 4
+                out += [(int(q_id[i]), int(v_id[c[b]]), float(near[b])) for b in best[first]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run

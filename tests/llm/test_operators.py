@@ -634,6 +634,15 @@ def test_equal_vectors_are_not_cut(spark):
             assert [r.vec_id for r in found if r.query_id == q] == [c for c in copies.tolist() if c != q][:5]
 
 
+def test_one_number_with_many_vectors_hides_no_other(spark):
+    near = [(1, [1.0, 0.001 * i]) for i in range(200)]  # all nearer than any other number
+    rows = [(0, [1.0, 0.0]), *near, *((10 + i, [1.0, 1.0 + i]) for i in range(6))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = ann.Params(again=1.0, posted=64)  # all files hold all rows
+    found = ann.search(vectors, vectors.where("vec_id = 0"), 5, whole).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 10, 11, 12, 13]
+
+
 def test_search_with_few_candidates(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     found = ann.search(v, v.where("vec_id = 0"), 5).orderBy("rank").collect()
