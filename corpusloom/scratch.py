@@ -14,11 +14,14 @@ _LEFT: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set.
+    Only a session on one machine (master ``local``) may leave it unset, as tests do:
+    then a temporary folder is made and set.  On a cluster that is an error, as no
+    other machine would see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,4 +50,4 @@ def _sweep() -> None:
         try:
             drop_table(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+            continue
