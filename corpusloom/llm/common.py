@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.scratch import drop_table, shared_dir, write_table
 
-__all__ = ["drawn", "drop_table", "shared_dir", "short_batches", "table", "texts_of", "write_table"]
+__all__ = ["drawn", "drop_table", "free_name", "shared_dir", "short_batches", "size_of", "table", "texts_of", "write_table"]
 
 #: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
 BATCH_ROWS = 2000
@@ -24,11 +24,25 @@ def short_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(value))
 
 
+def size_of(rows: DataFrame) -> int:
+    """Bytes of a table by Spark's own estimate from its files, 0 where it has none; nothing is run."""
+    found = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 50 else 0
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def free_name(name: str, *rows: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of ``rows`` has (in any case of letters)."""
+    taken = {c.lower() for r in rows for c in r.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,11 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drawn(rows: DataFrame, n: int, *by: str) -> DataFrame:
     """A bounded sample for a fit: the ``n`` rows with the least hash of ``by``.
 
-    A count comes first, and only rows below the hash that some 2 * n rows fall under are
-    sorted, so what the partitions send to the driver does not grow with their number.
+    Repeated rows count once.  A count of the distinct hashes comes first, and only rows
+    below the hash that some 2 * n of them fall under are sorted, so what the partitions send
+    to the driver does not grow with their number, and a table of mostly equal rows still
+    gives ``n`` different ones where it has them.
     """
-    total, place = rows.count(), F.shiftrightunsigned(F.xxhash64(*by), 11)
+    place = F.shiftrightunsigned(F.xxhash64(*by), 11)
+    total = rows.agg(F.approx_count_distinct(place, 0.02)).first()[0]
     near = 2 * n + 100
     if total > near:
         rows = rows.where(place < float(1 << 53) * near / total)
-    return rows.orderBy(place, *by).limit(n)
+    return rows.dropDuplicates(list(by)).orderBy(place, *by).limit(n)
