@@ -2,10 +2,11 @@
 
 Pivots are drawn from a bounded sample.  A vector is represented by its permutation,
 the pivots in order of their cosine with it, and is posted in the inverted files of its
-nearest pivots.  A query reads the files of its own nearest pivots, ranks what it finds
-there by the footrule distance of the permutations, and the best of every stretch of a
-file are ranked again by the exact cosine of the original vectors, in double precision;
-rows at the same distance are ranked again together or not at all.  Of equal vectors only
+nearest pivots.  A query reads the files of its own nearest pivots (more than a vector is
+posted in), ranks what it finds there by the footrule distance of the permutations, and
+the nearest share of every stretch of a file is ranked again by the exact cosine of the
+original vectors, in double precision; rows at the same distance are ranked again
+together or not at all, so no order of rows decides.  Of equal vectors only
 the ``k + 1`` smallest vec_ids are posted, in one stretch: no others can be among the best.
 
 Files are read in stretches: a pivot's file is dealt out over as many salts as its
@@ -13,7 +14,8 @@ length asks for, and its queries likewise over blocks; each block of queries mee
 stretch in a task of its own, so no task holds a whole file or all its queries, however
 hot its pivot.  A pair that meets in several files is ranked only in the
 first file that both have in common.  The best ``k`` of every stretch are reduced to
-the best ``k`` of the query by an aggregation with partial results.
+the best ``k`` of the query by a window whose limit works in each task first, so what
+is shuffled for a query does not grow with the number of stretches.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part (nor do those whose length differs from the most frequent one); rows with
@@ -38,14 +40,15 @@ from corpusloom.llm.common import drawn, write_table
 
 @dataclass(frozen=True)
 class Params:
-    """pivots and sample: bound of the fit; posted: files a vector is in; footrule: nearest pivots whose places count; again: share of a stretch that is ranked again (at least ``least``); stretch: rows of a file in one task; asked: queries of a file in one task; block: queries ranked at a time."""
+    """pivots and sample: bound of the fit; posted: files a vector is in; read: files a query reads; footrule: nearest pivots whose places count; again: share of a stretch that is ranked again (at least ``least``); stretch: rows of a file in one task; asked: queries of a file in one task; block: queries ranked at a time."""
 
-    pivots: int = 64
+    pivots: int = 128
     sample: int = 4096
-    posted: int = 10
-    footrule: int = 32
-    again: float = 0.6
-    least: int = 64
+    posted: int = 8
+    read: int = 16
+    footrule: int = 128
+    again: float = 0.1
+    least: int = 24
     stretch: int = 20_000
     asked: int = 20_000
     block: int = 64
@@ -87,7 +90,7 @@ def fit(rows: DataFrame, params: Params = DEFAULT) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)
+    scaled = x / np.abs(x).max(1, keepdims=True)  # no square runs out of range
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
@@ -103,8 +106,8 @@ def places(perm: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def _post(pivots: np.ndarray, params: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings (file, vec_id, embedding) of vectors or queries."""
+def _post(pivots: np.ndarray, files: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings (file, vec_id, embedding) of vectors or queries in the files of their nearest pivots."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -114,7 +117,7 @@ def _post(pivots: np.ndarray, params: Params) -> Callable[[Iterator[pa.RecordBat
             if not len(where):
                 continue
             x = np.array([lists[i] for i in where])
-            perm = permutation(_unit(x), pivots)[:, : params.posted]
+            perm = permutation(_unit(x), pivots)[:, :files]
             row = np.repeat(np.arange(len(where)), perm.shape[1])
             file = perm.ravel().astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(ids[where[row]]), batch.column("embedding").take(pa.array(where[row]))], names=["file", "vec_id", "embedding"])
@@ -143,8 +146,8 @@ def _rank(pivots: np.ndarray, k: int, params: Params) -> Callable[[pd.DataFrame,
             q_perm = permutation(q, pivots)
             q_place = places(q_perm, params.footrule)
             for i in range(len(part)):
-                # met before: in a file with a smaller number that both are posted in
-                earlier = q_perm[i, : params.posted]
+                # met before: in a file with a smaller number that one is posted in and the other reads
+                earlier = q_perm[i, : params.read]
                 earlier = earlier[earlier < file]
                 own = ~v_posted[:, earlier].any(1) & (v_id != q_id[i])
                 c = np.flatnonzero(own)
@@ -181,8 +184,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
     out = "query_id long, rank int, vec_id long, score double"
     if not pivots.size:
         return spark.createDataFrame([], out)
-    post, schema = _post(pivots, params), "file int, vec_id long, embedding array<double>"
-    posted, asked = smallest(rows, k).mapInArrow(post, schema), usable(queries).mapInArrow(post, schema)
+    schema = "file int, vec_id long, embedding array<double>"
+    posted, asked = smallest(rows, k).mapInArrow(_post(pivots, params.posted), schema), usable(queries).mapInArrow(_post(pivots, params.read), schema)
 
     def dealt(postings: DataFrame, most: int) -> Column:
         """Parts of each file; one count for each pivot reaches the driver."""
@@ -196,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params =
     asked = asked.withColumn("asked", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("salt", everywhere(salts))
     key = ("file", "salt", "asked")
     found = asked.groupBy(*key).cogroup(posted.groupBy(*key)).applyInPandas(_rank(pivots, k, params), _FOUND)
-    # the best score of a vec_id first, then the best k, partially in each task
+    # the best score of a vec_id first, then the best k: in each task, then of the query
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.less")).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
