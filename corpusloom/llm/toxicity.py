@@ -1,12 +1,15 @@
 """Toxicity: a linear-chain conditional random field tags toxic words.
 
 Training.  Document labels become token labels: in a bounded sample of labelled
-documents (near copies set aside) the word and prefix features whose documents are
-toxic far more often than chance allows mark their tokens.  The field has two labels,
-hashed features of a word (itself, prefixes of 4 to 6 letters) and a transition matrix;
-it is fitted by gradient steps on the conditional likelihood, whose gradient comes from
-forward-backward.  A logistic curve over what the marginals of a document add up to is
-fitted on the same documents, so scores are probabilities.
+documents (:data:`TOXIC_DOCS`, :data:`CLEAN_DOCS`, :data:`SAMPLE_CHARS`; near copies set
+aside) the word and prefix features whose documents are toxic far more often than chance
+allows mark their tokens.  The field has two labels, hashed features of a word (itself,
+prefixes of 4 to 6 letters) and a transition matrix; it is fitted by gradient steps on the
+conditional likelihood of whole documents of the sample, :data:`FIT_TOKENS` words at most.
+The gradient of the weights comes from the marginals of single tokens and that of the
+transitions from the marginals of neighbouring pairs, both by forward-backward.  A
+logistic curve over what the marginals of a document add up to is fitted on the same
+documents, so scores are probabilities.
 
 Scoring.  All words of a batch of whole texts form one sequence that is reset at each
 document.  Forward-backward runs in blocks of it: products of 2 x 2 matrices first,
@@ -29,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -40,8 +44,8 @@ from corpusloom.llm.common import drawn, short_batches
 WORD = re.compile(r"[^\W_]+")
 #: Bounds of the training sample: documents of each label, and code points of a document.
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 20_000
-#: Tokens that the field is fitted on.
-FIT_TOKENS = 200_000
+#: Words that the field is fitted on; documents beyond it serve the curve only.
+FIT_TOKENS = 400_000
 DIMENSION = 1 << 18
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers.
@@ -57,7 +61,8 @@ def _names(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of a text in lower case, each found in the text as it is, so that offsets hold."""
+    return list(map(str.lower, WORD.findall(text)))
 
 
 # Forward-backward ----------------------------------------------------------------------
@@ -65,9 +70,18 @@ def words_of(text: str) -> list[str]:
 
 def marginals(emission: np.ndarray, reset: np.ndarray, transition: np.ndarray, block: int = 256) -> np.ndarray:
     """P(label 1) of every token; ``emission`` is the log-odds of label 1 from the features, ``reset`` marks first tokens of sequences, ``transition`` holds the 2 x 2 log potentials."""
-    n = len(emission)
+    return _messages(emission, reset, transition, block, False)[0]
+
+
+def expectations(emission: np.ndarray, reset: np.ndarray, transition: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """P(label 1) of every token, and the expected number of each pair of labels (from, to) of neighbours within sequences."""
+    return _messages(emission, reset, transition, block, True)
+
+
+def _messages(emission: np.ndarray, reset: np.ndarray, transition: np.ndarray, block: int, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    n, expected = len(emission), np.zeros((2, 2))
     if not n:
-        return np.empty(0)
+        return np.empty(0), expected
     size = -(-n // block)
 
     def laid(values: np.ndarray, fill: float) -> np.ndarray:  # step k of all blocks is row k
@@ -102,17 +116,24 @@ def marginals(emission: np.ndarray, reset: np.ndarray, transition: np.ndarray, b
         y0, y1 = whole[0][0][k] * x0 + whole[0][1][k] * x1, whole[1][0][k] * x0 + whole[1][1][k] * x1
         x0, x1 = y0 / (y0 + y1), y1 / (y0 + y1)
     odds = np.empty((block, size))  # of label 1, from the left
+    before = np.empty((block if pairs else 0, size))  # share of label 1 at the token before, from the left
     for k in range(block):
+        if pairs:
+            before[k] = a1 / (a0 + a1)
         a0, a1 = a0 * m[0][0][k] + a1 * m[1][0][k], a0 * m[0][1][k] + a1 * m[1][1][k]
         s = 1 / (a0 + a1)
         a0, a1 = a0 * s, a1 * s
         odds[k] = a1 / a0
     for k in range(block - 1, -1, -1):
         odds[k] *= b1 / b0
+        if pairs:
+            both = [[x * m[i][j][k] * y for j, y in enumerate((b0, b1))] for i, x in enumerate((1 - before[k], before[k]))]
+            share = (1 - r[k]) / (both[0][0] + both[0][1] + both[1][0] + both[1][1])  # none over a reset
+            expected += [[(x * share).sum() for x in row] for row in both]
         b0, b1 = m[0][0][k] * b0 + m[0][1][k] * b1, m[1][0][k] * b0 + m[1][1][k] * b1
         s = 1 / (b0 + b1)
         b0, b1 = b0 * s, b1 * s
-    return (odds / (1 + odds)).T.ravel()[:n]
+    return (odds / (1 + odds)).T.ravel()[:n], expected
 
 
 @dataclass
@@ -212,6 +233,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def gradients(emission: np.ndarray, y: np.ndarray, reset: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative conditional log-likelihood of labels ``y``: by each token's emission, and by the transitions."""
+    p, expected = expectations(emission, reset, transition)
+    follows = np.flatnonzero(~reset)
+    gold = np.bincount((2 * y[follows - 1] + y[follows]).astype(int), minlength=4).reshape(2, 2)
+    return p - y, expected - gold
+
+
 def _fit_chain(sequences: list[list[str]], marks: set[str], steps: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions by Adam on the conditional likelihood."""
     flat = [w for s in sequences for w in s]
@@ -224,20 +253,13 @@ def _fit_chain(sequences: list[list[str]], marks: set[str], steps: int = 40) ->
     cols = np.concatenate([np.array(f) for f in listed])
     reset = np.zeros(len(flat), dtype=bool)
     reset[np.cumsum([0, *(len(s) for s in sequences[:-1])])] = True
-    follows = np.flatnonzero(~reset)
-    pair = (2 * y[follows - 1] + y[follows]).astype(int)
-    gold_pairs = np.bincount(pair, minlength=4) / len(flat)
     w, bias, t = np.zeros(DIMENSION), -3.0, np.zeros((2, 2))
     mean, var = [np.zeros(DIMENSION), 0.0, np.zeros((2, 2))], [np.zeros(DIMENSION), 0.0, np.zeros((2, 2))]
     for step in range(1, steps + 1):
         e = (bias + np.bincount(rows, w[cols], minlength=len(listed)))[word]
-        p = marginals(e, reset, t)
-        gap = np.bincount(word, p - y, minlength=len(listed)) / len(flat)
-        # expected pairs, from the marginals of neighbours given the transitions
-        a, b = p[follows - 1], p[follows]
-        both = np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b], 1) * np.exp(t).ravel()
-        expected = (both / both.sum(1, keepdims=True)).sum(0) / len(flat)
-        grads = [np.bincount(cols, gap[rows], minlength=DIMENSION) + 1e-7 * w, gap.sum(), (expected - gold_pairs).reshape(2, 2) + 1e-4 * t]
+        by_token, by_pair = gradients(e, y, reset, t)
+        gap = np.bincount(word, by_token, minlength=len(listed)) / len(flat)
+        grads = [np.bincount(cols, gap[rows], minlength=DIMENSION) + 1e-7 * w, gap.sum(), by_pair / len(flat) + 1e-4 * t]
         moved = []
         for k, (value, g) in enumerate(zip((w, bias, t), grads, strict=True)):
             mean[k] = 0.9 * mean[k] + 0.1 * g
@@ -259,25 +281,14 @@ def fit(texts: list[str], labels: list[int]) -> Field:
     marks = toxic_features([w for w, k in zip(words, apart, strict=True) if k], y[apart])
     if not marks:
         return nothing
-    known: dict[str, bool] = {}
-
-    def is_mark(w: str) -> bool:
-        if w not in known:
-            known[w] = any(n in marks for n in _names(w))
-        return known[w]
-
-    # sequences: 12 words to either side of a marked word in toxic documents, and stretches of clean ones
+    # whole documents, toxic and clean ones in turn, as far as the bound of words allows
     sequences, held = [], 0
-    for w, x in zip(words, y, strict=True):
-        at = 0
-        hits = [i for i, one in enumerate(w) if is_mark(one)] if x else [len(w) // 2]
-        for i in hits:
-            if i >= at:
-                piece = w[max(at, i - 12) : i + 13] if x else w[:50]
-                at = i + 13
-                if piece and held < FIT_TOKENS:
-                    sequences.append(piece)
-                    held += len(piece)
+    turns = [[w for w, x in zip(words, y, strict=True) if w and x == k] for k in (1, 0)]
+    for one in (w for pair in zip_longest(*turns) for w in pair if w):
+        if held and held + len(one) > FIT_TOKENS:
+            break
+        sequences.append(one)
+        held += len(one)
     if not sequences:
         return nothing
     weights, bias, transition = _fit_chain(sequences, marks)
@@ -303,18 +314,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
 
 def spans_of(text: str, p: np.ndarray) -> list[dict]:
-    """Offsets of words with a marginal of 0.5 or more."""
+    """Offsets of words with a marginal of 0.5 or more; ``p`` holds one for each word of the text."""
     if not len(p) or p.max() < 0.5:
         return []
-    low = text.lower()
-    if len(low) != len(text):  # a few letters lower to two code points
-        low = "".join(c.lower() if len(c.lower()) == 1 else "x" for c in text)
-    out = [{"start": m.start(), "end": m.end(), "p": round(float(x), 6)} for m, x in zip(WORD.finditer(low), p, strict=False) if x >= 0.5]
-    return out
+    return [{"start": m.start(), "end": m.end(), "p": round(float(x), 6)} for m, x in zip(WORD.finditer(text), p, strict=True) if x >= 0.5]
 
 
-def score(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``_toxicity``: struct(score double, predicted int, spans)."""
+def score(docs: DataFrame, model: Field, text: str = "text", to: str = "_toxicity") -> DataFrame:
+    """All columns of ``docs``, then ``to``: struct(score double, predicted int, spans); ``docs`` must have no column of that name (see :func:`free_name`)."""
     short_batches(docs.sparkSession)
 
     @F.pandas_udf("score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
@@ -324,15 +331,17 @@ def score(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
             scores, spans = [], []
             at = 0
             while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) < 1 << 20):
-                    held += len(texts[to])
-                    to += 1
-                tags = model.tag(texts[at:to])
+                end, held = at, 0
+                while end < len(texts) and (end == at or held + len(texts[end]) < 1 << 20):
+                    held += len(texts[end])
+                    end += 1
+                tags = model.tag(texts[at:end])
                 scores.append(model.score(tags))
-                spans += [spans_of(t, p) for t, p in zip(texts[at:to], tags, strict=True)]
-                at = to
+                spans += [spans_of(t, p) for t, p in zip(texts[at:end], tags, strict=True)]
+                at = end
             s = np.concatenate(scores) if scores else np.empty(0)
             yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype("int32"), "spans": spans})
 
-    return docs.withColumn("_toxicity", tagged(F.col(text)))
+    if to.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {to} already")
+    return docs.select("*", tagged(F.col(text)).alias(to))
