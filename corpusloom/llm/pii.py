@@ -11,9 +11,14 @@ a token that occurs n times has fewer than 3 * n edges.  Loopy message passing,
 messages of a document stand still, carries the labels along the edges, so a phone number
 without its plus sign or a card written apart is tagged like its other mention.
 
-Node weights come from softmax regression on token shapes, edge weights from how often
-joined tokens have the same label; both are trained on the base spans of a bounded
-sample (:data:`SAMPLE_DOCS`).  All documents of a batch are one graph, in numpy.
+Weights of nodes (token shapes) and edges are fitted together, on a bounded sample
+(:data:`SAMPLE_DOCS`, :data:`SAMPLE_CHARS`), by gradient steps on the likelihood of the
+labels that the base spans give, through the same messages: in every second document half
+of the tokens under base spans are shown, all others and the tokens of no kind are to be
+guessed, and tokens alike to a base mention but under no base span themselves are latent.  The gradient is
+what nodes and edges count with all labels given less what they are expected to count,
+plus a normal prior (:data:`PRIOR`) by which alike tokens agree.  All documents of a
+batch are one graph, in numpy.
 
 Spans are kind:start:end in code points, end exclusive; base spans always stay, and
 added ones never overlap them.  Edge cases: null and empty texts have no spans; very
@@ -29,6 +34,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,6 +51,8 @@ SHAPES = 1 << 12
 STILL, LOOK, ROUNDS = 1e-4, 16, 1600
 #: Added spans need this marginal.
 SURE = 0.8
+#: The prior of edge potentials before any data: means of agreement over chain and skip edges, and the weight of the mean.
+PRIOR, PRIOR_WEIGHT = (0.0, 4.0), 1e-3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -107,11 +115,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> list[int]:
-    """Slots of a token's features: its outline, and counts of digits and marks."""
+    """Slots of a whole token's features: its outline, and counts of digits and marks."""
     digits = sum(c in "0123456789" for c in token)
-    outline = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"{min(len(m.group()), 19)}", token))[:40]
-    short = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", token[:200])))[:24]
-    marks = "".join(sorted({c for c in token[:200] if not c.isalnum()}))
+    outline = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"{min(len(m.group()), 19)}", token))
+    short = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", token)))
+    marks = "".join(sorted({c for c in token if not c.isalnum()}))
     return [zlib.crc32(f.encode()) % SHAPES for f in (f"o{outline}", f"s{short}", f"d{min(digits, 20)}", f"m{marks}", f"md{min(digits, 20)}{marks}", "bias")]
 
 
@@ -129,6 +137,7 @@ class Graph:
     seen: np.ndarray
     slots: list[list[int]]
     edges: np.ndarray  # (a, b, 0 chain, 1 skip, or 2 skip to an observed one further off)
+    open: np.ndarray  # not observed, but alike to an observed one
 
 
 def _to_observed(group: list[int], seen: list[int]) -> list[tuple[int, int, int]]:
@@ -145,12 +154,12 @@ def _to_observed(group: list[int], seen: list[int]) -> list[tuple[int, int, int]
 
 
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
-    doc, span, seen, slots, edges = [], [], [], [], []
+    doc, span, seen, slots, edges, latent = [], [], [], [], [], set()
     for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
         last_end, last = -9, -1
         alike: dict[str, list[int]] = {}
         starts = [s for s, _, _ in base]
-        longest = max((e - s for s, _, e in base), default=0)
+        furthest = list(accumulate((e for _, _, e in base), max))  # end of any span up to this one
         for m in _TOKEN.finditer(text):
             word = m.group().strip(_EDGE)
             if not word:
@@ -159,7 +168,7 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
             b = a + len(word)
             label = -1
             k = bisect_left(starts, b) - 1
-            while k >= 0 and starts[k] + longest > a:
+            while k >= 0 and furthest[k] > a:
                 if base[k][2] > a:
                     label = base[k][1] + 1
                     break
@@ -180,9 +189,23 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
         if base:
             for group in alike.values():
                 edges += _to_observed(group, seen)
+                if any(seen[n] > 0 for n in group):
+                    latent.update(n for n in group if seen[n] <= 0)
     near = {(a, b) for a, b, kind in edges if kind == 1}
     edges = [e for e in edges if e[2] < 2 or e[:2] not in near]
-    return Graph(np.array(doc, dtype=np.int64), span, np.array(seen, dtype=np.int64), slots, np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 3))
+    is_open = np.zeros(len(doc), dtype=bool)
+    is_open[list(latent)] = True
+    return Graph(np.array(doc, dtype=np.int64), span, np.array(seen, dtype=np.int64), slots, np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 3), is_open)
+
+
+def _summed(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of ``values`` added up by ``at``."""
+    return np.stack([np.bincount(at, c, minlength=n) for c in values.T], 1) if len(at) else np.zeros((n, values.shape[1]))
+
+
+def _shares(log: np.ndarray) -> np.ndarray:
+    p = np.exp(log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 @dataclass
@@ -191,77 +214,90 @@ class Field:
     pairs: np.ndarray  # (chain, skip) x labels x labels, log potentials
 
     def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy belief propagation; observed nodes keep their label."""
+        """Of each node's labels, given the observed ones."""
+        return self.beliefs(g, np.where(g.seen > 0, g.seen, -1), rounds)[0]
+
+    def beliefs(self, g: Graph, given: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Loopy belief propagation: of each node's labels, and of each edge's pairs of labels, where ``given`` (-1: not) fixes labels."""
         n, k = len(g.doc), len(KINDS) + 1
-        node = np.array([self.weights[s].sum(0) for s in g.slots]).reshape(n, k)
-        fixed = g.seen > 0
+        rows = np.repeat(np.arange(n), [len(s) for s in g.slots])
+        cols = np.array([x for s in g.slots for x in s], dtype=np.int64)
+        node = _summed(n, rows, self.weights[cols])
+        fixed = given >= 0
         node[fixed] = -np.inf
-        node[fixed, g.seen[fixed]] = 0.0
-        if len(g.edges):
-            src = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
-            dst = np.concatenate([g.edges[:, 1], g.edges[:, 0]])
-            kind = np.minimum(g.edges[:, 2], 1)
-            pot = self.pairs[np.concatenate([kind, kind])]
-            pot[len(g.edges) :] = pot[len(g.edges) :].transpose(0, 2, 1)
-            back = np.concatenate([np.arange(len(g.edges)) + len(g.edges), np.arange(len(g.edges))])
-            msg, place = np.zeros((len(src), k)), np.empty(len(src), dtype=np.int64)
-            live = np.arange(len(src))  # edges of documents whose messages still move
-            for at in range(0, rounds, LOOK):
-                nodes, ends = np.unique(np.concatenate([src[live], dst[live]]), return_inverse=True)
-                a, b = ends[: len(live)], ends[len(live) :]
-                place[live] = np.arange(len(live))
-                m, opposite, own, potential = msg[live], place[back[live]], node[nodes], pot[live]
-                for _ in range(min(LOOK, rounds - at)):
-                    total = own.copy()
-                    np.add.at(total, b, m)
-                    into = (total[a] - m[opposite])[:, :, None] + potential
-                    top = into.max(1, keepdims=True)
-                    new = np.log(np.exp(into - top).sum(1)) + top[:, 0]
-                    step = 0.5 * (new - new.max(1, keepdims=True)) - 0.5 * m
-                    m = m + step
-                msg[live] = m
-                moving = np.zeros(g.doc[-1] + 1, dtype=bool)
-                moving[g.doc[src[live]][np.abs(step).max(1) > STILL]] = True
-                live = live[moving[g.doc[src[live]]]]
-                if not len(live):
-                    break
-            np.add.at(node, dst, msg)
-        p = np.exp(node - node.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
-
-def fit(texts: list[str], steps: int = 150) -> Field:
-    """Softmax regression on shapes, and agreement of joined tokens, from base spans."""
+        node[fixed, given[fixed]] = 0.0
+        if not len(g.edges):
+            return _shares(node) if n else node, np.empty((0, k, k))
+        src = np.concatenate([g.edges[:, 0], g.edges[:, 1]])
+        dst = np.concatenate([g.edges[:, 1], g.edges[:, 0]])
+        kind = np.minimum(g.edges[:, 2], 1)
+        pot = self.pairs[np.concatenate([kind, kind])]
+        pot[len(g.edges) :] = pot[len(g.edges) :].transpose(0, 2, 1)
+        back = np.concatenate([np.arange(len(g.edges)) + len(g.edges), np.arange(len(g.edges))])
+        msg, place = np.zeros((len(src), k)), np.empty(len(src), dtype=np.int64)
+        live = np.arange(len(src))  # edges of documents whose messages still move
+        for at in range(0, rounds, LOOK):
+            nodes, ends = np.unique(np.concatenate([src[live], dst[live]]), return_inverse=True)
+            a, b = ends[: len(live)], ends[len(live) :]
+            place[live] = np.arange(len(live))
+            m, opposite, own, potential = msg[live], place[back[live]], node[nodes], pot[live]
+            for _ in range(min(LOOK, rounds - at)):
+                total = own + _summed(len(nodes), b, m)
+                into = (total[a] - m[opposite])[:, :, None] + potential
+                top = into.max(1, keepdims=True)
+                new = np.log(np.exp(into - top).sum(1)) + top[:, 0]
+                step = 0.5 * (new - new.max(1, keepdims=True)) - 0.5 * m
+                m = m + step
+            msg[live] = m
+            moving = np.zeros(g.doc[-1] + 1, dtype=bool)
+            moving[g.doc[src[live]][np.abs(step).max(1) > STILL]] = True
+            live = live[moving[g.doc[src[live]]]]
+            if not len(live):
+                break
+        node = node + _summed(n, dst, msg)
+        half = len(g.edges)
+        both = (node[src[:half]] - msg[half:])[:, :, None] + pot[:half] + (node[dst[:half]] - msg[:half])[:, None, :]
+        return _shares(node), _shares(both.reshape(half, -1)).reshape(half, k, k)
+
+
+def gradients(g: Graph, model: Field, gold: np.ndarray, shown: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the labels ``gold`` (-1: latent) given those of the nodes ``shown``: by weights and by potentials."""
+    counted = model.beliefs(g, gold, rounds)
+    expected = model.beliefs(g, np.where(shown, gold, -1), rounds)
+    rows = np.repeat(np.arange(len(g.doc)), [len(s) for s in g.slots])
+    cols = np.array([x for s in g.slots for x in s], dtype=np.int64)
+    free = ~shown[:, None]  # weights of a node whose label is given have no part
+    by_weight = _summed(len(model.weights), cols, ((counted[0] - expected[0]) * free)[rows])
+    by_pair = np.zeros_like(model.pairs)
+    kind = np.minimum(g.edges[:, 2], 1)
+    for k in (0, 1):
+        by_pair[k] = (counted[1] - expected[1])[kind == k].sum(0)
+    return by_weight, by_pair
+
+
+def fit(texts: list[str], steps: int = 100, rounds: int = 8) -> Field:
+    """Node and edge weights, together, from the labels of base spans; see the module's text."""
     k = len(KINDS) + 1
     g = graph(texts, [base_spans(t) for t in texts])
-    y = np.maximum(g.seen, 0)
-    pairs = np.zeros((2, k, k))
-    for kind in (0, 1):
-        e = g.edges[g.edges[:, 2] == kind] if len(g.edges) else g.edges
-        # joined tokens agree in general (the prior), more or less so in the sample
-        count = np.full((k, k), 0.2) + np.eye(k) * (20.0 if kind else 1.0)
-        for a, b, _ in e:
-            if g.seen[a] > 0 or g.seen[b] > 0:
-                count[y[a], y[b]] += 0.5 * (kind == 0 or y[a] == y[b] or 0.1)
-                count[y[b], y[a]] += 0.5 * (kind == 0 or y[a] == y[b] or 0.1)
-        count[0, 0] = max(count[0, 0], 1.0)
-        share = count / count.sum()
-        pairs[kind] = np.clip(np.log(share) - 0.5 * (np.log(share.sum(1))[:, None] + np.log(share.sum(0))[None, :]), -4, 4)
-    w = np.zeros((SHAPES, k))
-    w[zlib.crc32(b"bias") % SHAPES, 0] = 2.0
-    if len(y):
-        rows = np.repeat(np.arange(len(y)), [len(s) for s in g.slots])
-        cols = np.concatenate([np.array(s) for s in g.slots])
-        hot = np.eye(k)[y]
-        for _ in range(steps):
-            z = np.zeros((len(y), k))
-            np.add.at(z, rows, w[cols])
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            grad = np.zeros_like(w)
-            np.add.at(grad, cols, ((p - hot) / len(y))[rows])
-            w -= 2.0 * (grad + 1e-4 * w)
-    return Field(w, pairs)
+    prior = np.stack([np.eye(k) * p for p in PRIOR])
+    model = Field(np.zeros((SHAPES, k)), prior.copy())
+    model.weights[zlib.crc32(b"bias") % SHAPES, 0] = 2.0
+    if not len(g.doc):
+        return model
+    gold = np.where(g.open, -1, np.maximum(g.seen, 0))
+    nth = np.arange(len(gold), dtype=np.uint64)
+    shown = (g.seen > 0) & (g.doc % 2 == 0) & (nth * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63) == 0)
+    mean, var = [np.zeros_like(model.weights), np.zeros_like(prior)], [np.zeros_like(model.weights), np.zeros_like(prior)]
+    for step in range(1, steps + 1):
+        by_weight, by_pair = gradients(g, model, gold, shown, rounds)
+        grads = by_weight / len(gold) - 1e-4 * model.weights, by_pair / len(gold) - PRIOR_WEIGHT * (model.pairs - prior)
+        moved = []
+        for i, (value, x) in enumerate(zip((model.weights, model.pairs), grads, strict=True)):
+            mean[i] = 0.9 * mean[i] + 0.1 * x
+            var[i] = 0.99 * var[i] + 0.01 * x * x
+            moved.append(value + 0.2 * (mean[i] / (1 - 0.9**step)) / (np.sqrt(var[i] / (1 - 0.99**step)) + 1e-6))
+        model = Field(*moved)
+    return model
 
 
 def train(docs: DataFrame) -> Field:
