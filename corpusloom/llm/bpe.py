@@ -9,8 +9,11 @@
     by position.  Decoding joins the token-byte table to the ids.
 
 Words and positions travel as compressed columns, a few rows for each block, so neither
-the shuffle nor the JVM sees a row for each token.  A block has a bounded number of
-tokens (or one document); a bucket holds the distinct words of one hash class.
+the shuffle nor the JVM sees a row for each token.  Memory is bounded: a block has
+:data:`BLOCK_TOKENS` tokens or :data:`BLOCK_BYTES` bytes of text at most (or one document).
+A task reads its buckets one after another and keeps the ids of one bucket's words, at most
+:data:`KNOWN_WORDS`; beyond that it starts anew and may encode a word twice.  There are as
+many buckets as shuffle partitions and, for the positions, tasks by the size of the input.
 
 Blocks are numbered within the input partitions, so the input must come in the same
 order if a task runs again: a file scan or a written table does.
@@ -33,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import texts_of
+from corpusloom.llm.common import short_batches, size_of, texts_of
 
-#: A block ends after so many tokens.
-BLOCK_TOKENS = 1 << 23
-#: Hash classes of words, at least; with more shuffle partitions there are as many as those.
+#: A block ends after so many tokens, or bytes of text.
+BLOCK_TOKENS, BLOCK_BYTES = 1 << 21, 16 << 20
+#: A task of a shuffle serves about so many bytes of the input.
+TASK_BYTES = 32 << 20
+#: Words of a bucket whose ids are kept.
+KNOWN_WORDS = 500_000
+#: Hash classes of words, at least.
 BUCKETS = 64
 
 # For texts without characters from U+0250 on, the pre-token pattern in plain classes;
@@ -119,7 +126,7 @@ def _explode(pattern: str, block_tokens: int, buckets: int) -> Callable[[Iterato
         from pyspark import TaskContext
 
         cut, block = PreTokens(pattern), TaskContext.get().partitionId() << 32
-        codes, docs, positions, held = _Codes(), [], [], 0
+        codes, docs, positions, held, size = _Codes(), [], [], 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
             seq = np.concatenate(positions) if positions else np.empty(0, dtype=np.uint32)
@@ -129,41 +136,46 @@ def _explode(pattern: str, block_tokens: int, buckets: int) -> Callable[[Iterato
             rank[order] = np.arange(len(order))
             encoded = [words[k].encode() for k in order]
             bucket = np.array([zlib.crc32(w) % buckets for w in encoded], dtype=np.int64)
-            rows = [(block, -1, -1 - ((block >> 32) + block) % buckets, _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
+            rows = [(block, -1, -1 - (block >> 32) * 1009 - (block & 0xFFFFFFFF), _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
             for k in np.unique(bucket):
                 mine = np.flatnonzero(bucket == k)
                 own = [encoded[i] for i in mine]
                 rows.append((block, int(k), int(k), _planes(np.diff(mine, prepend=0), 4), _pair(_planes(np.array([len(w) for w in own]), 4), _squeeze(b"".join(own)))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], type=t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "deal", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], type=t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "bucket", "deal", "a", "b"])
 
         for batch in found:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 tokens = cut(text)
                 docs.append((0 if doc_id is None else doc_id, doc_id is None, len(tokens)))
                 positions.append(np.fromiter(map(codes.__getitem__, tokens), dtype=np.uint32, count=len(tokens)))
-                held += len(tokens)
-                if held >= block_tokens:
+                held, size = held + len(tokens), size + len(text)
+                if held >= block_tokens or size >= BLOCK_BYTES:
                     yield from close()
-                    codes, docs, positions, held, block = _Codes(), [], [], 0, block + 1
+                    codes, docs, positions, held, size, block = _Codes(), [], [], 0, 0, block + 1
         if docs:
             yield from close()
 
     return run
 
 
-def _encode(vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Words of a bucket to ids, each distinct word once; other rows pass."""
+def _encode(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by bucket: its words to ids, each distinct word once; other rows pass."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(vocabulary), special_tokens={})
+        # words are pre-tokens already: each is taken whole
+        encoding = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(vocabulary), special_tokens={})
         known: dict[bytes, np.ndarray] = {}
+        at = None
         for batch in found:
             buckets, a, b = batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for i, bucket in enumerate(buckets):
                 if bucket < 0:
                     continue
+                if bucket != at or len(known) > KNOWN_WORDS:
+                    known.clear()
+                    at = bucket
                 sizes, data = _unpair(b[i])
                 sizes, data = _values(sizes, 4), _expand(data)
                 ends = np.cumsum(sizes)
@@ -172,7 +184,7 @@ def _encode(vocabulary: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]
                     word = data[s:e]
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = np.array(encoding._encode_single_piece(word), dtype="<u4")
+                        got = known[word] = np.array(encoding.encode_ordinary(word.decode()), dtype="<u4")
                     ids.append(got)
                 flat = np.concatenate(ids)
                 b[i] = _pair(_planes(np.array([len(x) for x in ids]), 3), _planes(flat, 3))
@@ -247,8 +259,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
 
     ``vocabulary`` names a file of base64 tokens with their ranks that every worker has.
     """
+    short_batches(docs.sparkSession)
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode(pattern, block_tokens, buckets), "block long, bucket int, deal int, a binary, b binary")
-    ids = exploded.repartition(buckets, "deal").mapInArrow(_encode(vocabulary, pattern), "block long, bucket int, a binary, b binary")
-    blocks = ids.repartition("block").sortWithinPartitions("block", "bucket")
+    parts = max(buckets, size_of(docs) // TASK_BYTES)
+    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode(pattern, block_tokens, buckets), "block long, bucket int, deal long, a binary, b binary")
+    ids = exploded.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(_encode(vocabulary), "block long, bucket int, a binary, b binary")
+    blocks = ids.repartition(parts, "block").sortWithinPartitions("block", "bucket")
     return blocks.mapInArrow(_reassemble(vocabulary, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
