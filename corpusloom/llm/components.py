@@ -3,7 +3,8 @@
 ``local_forest`` contracts arrays of edges to a star forest; the distributed part
 alternates large-star and small-star steps (Kiveris et al., "Connected components in
 MapReduce and beyond") until the table of stars stands still.  Every step is an
-aggregation with partial sums and a join that adaptive execution can split.
+aggregation with partial sums and a join; a hub, the smaller end of more than one edge in
+:data:`HUBS`, is dealt out over salts in the join, so no task gets all its edges.
 """
 
 from __future__ import annotations
@@ -86,19 +87,26 @@ def _contract(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]), pa.array(y[at : at + (1 << 16)])], names=["u", "v"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step on edges u > v."""
-    if large:
-        near = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges
-    low = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    joined = near.join(low, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    else:
-        out = joined.where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionAll(low.select("u", F.col("low").alias("v")))
-    return out.where("u != v").distinct()
+#: A hub has more than this many edges, and more than one in HUBS of all: there are fewer than HUBS of them.
+HUB, HUBS = 64, 1000
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Edges u > v, each to the least neighbour of its smaller end, if that has a smaller one."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).withColumnRenamed("u", "v")
+    most = max(HUB, total // HUBS)
+    hubs = F.broadcast(edges.groupBy("v").agg(F.ceil(F.count("*") / most).cast("int").alias("salts")).where("salts > 1"))  # fewer than HUBS rows
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = edges.join(hubs, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
+    everywhere = low.join(hubs, "v", "left").select("v", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return dealt.join(everywhere, ["v", "salt"], "left").select("u", F.coalesce("low", "v").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours of a node to the least of them.  After a large step a node has as many as forests it is in: no hubs."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    out = edges.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return out.unionAll(low.select("u", F.col("low").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -108,12 +116,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now, path = write_table(edges.mapInArrow(_contract, "u long, v long"), "edges")
-    digest = None
+    digest, total = None, now.count()
     while True:
-        nxt, nxt_path = write_table(_star(_star(now, True), False), "stars")
+        nxt, nxt_path = write_table(_small_star(_large_star(now, total)), "stars")
         drop_table(spark, path)
         now, path = nxt, nxt_path
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if seen == digest or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        digest = seen
+        digest, total = seen, seen[0]
