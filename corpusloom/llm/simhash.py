@@ -7,8 +7,9 @@ fingerprint is at home at its nearest anchor and is replicated to every anchor w
 the radius plus the block's threshold.  If two fingerprints differ by at most t bits
 over b blocks, some block differs by at most t // b bits; both then meet at the home
 anchor of the smaller one, where they are compared in full.  With t // b no larger
-than the block threshold the search is exact; :data:`WIDE` trades that for a wider
-radius (see there).
+than the block threshold the search is exact (:data:`NARROW`); :func:`wide` trades that
+for a wider radius, and its blocks grow with the table, so that an anchor has no more
+homes as the table grows.
 
 Only distinct fingerprints are replicated, so a group of copies, however large, is one
 row.  In a task the pairs of an anchor are compared in numpy and contracted to a
@@ -25,6 +26,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,10 +38,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import drop_table, short_batches, write_table
 from corpusloom.llm.components import components, local_forest, spanning_forest
 
-#: An anchor with more homes than this is dealt out over salts.
-HOT_HOMES = 4096
-#: At most so many anchors are looked up as hot; the others are compared unsalted, with the same result.
-HOT_ANCHORS = 1024
+#: An anchor with more homes than this, and more than one in HOT_ANCHORS of all, is dealt out over salts; there are fewer than HOT_ANCHORS of them.
+HOT_HOMES, HOT_ANCHORS = 4096, 1000
 #: A group of open candidates is checked in blocks of about so many documents, or bytes of shingle sets.
 BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
@@ -69,10 +69,31 @@ class Layout:
 
 #: 64 bits, at most 3 differing: two blocks of 32 bits, one of which differs by at most 1.  Exact.
 NARROW = Layout(lanes=1, code=31, raw=1, reach=1, most=3)
-#: 256 bits, at most 54 differing: candidates for a share of 0.8 or more of common shingles (the angle of such
-#: texts gives 38.8 bits, with a deviation of 5.7).  16 blocks of 16 bits with threshold 1: a pair at
-#: 39 bits meets in some block with probability 0.995, closer pairs more surely.  An exact check follows.
-WIDE = Layout(lanes=4, code=15, raw=1, reach=1, most=54)
+#: Share of differing bits of texts with 0.8 of their shingles in common, by the angle of their sets.
+APART = math.acos(2 * 0.8 / (1 + 0.8)) / math.pi
+
+
+def wide(texts: int, recall: float = 0.99) -> Layout:
+    """The layout that finds candidates for a share of 0.8 or more of common shingles among so many different texts.
+
+    Blocks have threshold 1, and 16 bits for up to :data:`WIDE_TEXTS` texts, one more for
+    each doubling (21 at most): so the anchors of a block grow with the table, and the
+    homes of an anchor do not.  There are as many blocks as let a pair at 0.8 meet in one
+    with probability ``recall``, closer pairs more surely, and so many differing bits are
+    allowed as 99.6 % of such pairs have at most.  An exact check follows.
+    """
+    raw = 1 + min(5, max(0, math.ceil(math.log2(max(texts, 1) / WIDE_TEXTS))))
+    width = 15 + raw
+    meet = (1 - APART) ** width + width * APART * (1 - APART) ** (width - 1)
+    blocks = math.log(1 - recall) / math.log(1 - meet)
+    lanes = math.ceil(blocks / (64 // width))
+    bits = 64 * lanes
+    return Layout(lanes=lanes, code=15, raw=raw, reach=1, most=round(bits * APART + 2.65 * math.sqrt(bits * APART * (1 - APART))))
+
+
+#: 256 bits in 16 blocks, at most 54 differing serve so many texts.
+WIDE_TEXTS = 1 << 22
+WIDE = wide(WIDE_TEXTS)
 
 
 def _hashes(text: str | None, words: int, lanes: int) -> Iterator[np.ndarray]:
@@ -109,15 +130,22 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
 
 
 def set_fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[list[int], int]:
-    """SimHash over the distinct shingles, each once, and a hash of their set."""
+    """SimHash over the distinct shingles, each once, and a hash of their set; lanes are mixed from one hash of a shingle."""
     import xxhash
 
-    own = np.empty((lanes, 0), dtype="<u8")
-    for h in _hashes(text, words, lanes):
-        own = np.concatenate([own, h], axis=1)
-        own = own[:, np.unique(own[0], return_index=True)[1]]
-    pieces = (own[:, at : at + (1 << 16)] for at in range(0, own.shape[1], 1 << 16))
-    return _print(pieces, lanes), xxhash.xxh64_intdigest(own[0].tobytes())
+    own = np.empty(0, dtype="<u8")
+    for h in _hashes(text, words, 1):
+        own = np.unique(np.concatenate([own, h[0]]))
+    pieces = (_mixed(own[at : at + (1 << 16)], lanes) for at in range(0, len(own), 1 << 16))
+    return _print(pieces, lanes), xxhash.xxh64_intdigest(own.tobytes())
+
+
+def _mixed(h: np.ndarray, lanes: int) -> np.ndarray:
+    """A row of well mixed hashes for each lane (the finisher of SplitMix64)."""
+    x = h[None, :] + np.arange(lanes, dtype="<u8")[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def _signed(x: int) -> int:
@@ -131,7 +159,7 @@ def fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            f = [fingerprint(t, words, lanes) for t in batch.column("text").to_pylist()]
+            f = [fingerprint(t.as_py(), words, lanes) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([_signed(x[k]) for x in f], type=pa.int64()) for k in range(lanes))], names=["doc_id", *(f"f{k}" for k in range(lanes))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes))]))
@@ -352,8 +380,9 @@ def links(distinct: DataFrame, layout: Layout, real: bool = False) -> DataFrame:
     With ``real`` its edges are links themselves, and hold a least spanning forest by differing bits.
     With a column ``root``, only links between different roots count.
     """
-    homes = distinct.mapInArrow(_homes(layout), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_HOMES)
-    hot = {int(r[0]): -(-int(r[1]) // HOT_HOMES) for r in homes.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()}
+    most = max(HOT_HOMES, distinct.count() * layout.blocks // HOT_ANCHORS)
+    homes = distinct.mapInArrow(_homes(layout), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = {int(r[0]): -(-int(r[1]) // most) for r in homes.collect()}  # fewer than HOT_ANCHORS
     names = ["node", *(["root"] if "root" in distinct.columns else []), *(f"f{k}" for k in range(layout.lanes))]
     rows = distinct.mapInArrow(_replicas(layout, hot, names), ", ".join(["anchor long, salt int, member byte", *(f"{c} long" for c in names)]))
     return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(_compare(layout, real), "u long, v long")
@@ -464,18 +493,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layout: Layout = WIDE) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layout: Layout | None = None) -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable over links of similarity ``least`` or more.
 
     Candidates are links of fingerprints.  First the least spanning forest of each task's
     links is checked on the whole sets of shingles, which joins most of what is similar;
     then all candidates whose ends are still apart are, block by block within their group.
     So a group of near copies makes no table of all its pairs, no candidate stays
-    unchecked, and the result does not depend on partitions.
+    unchecked, and the result does not depend on partitions.  The layout follows the
+    number of documents where none is given.
     Fingerprints are of the distinct shingles; only equal sets of shingles count as similar
     unchecked.  Rows with a null doc_id are left out, and rows of
     one doc_id are one document.
     """
+    layout = layout or wide(docs.count())
     lanes = [f"f{k}" for k in range(layout.lanes)]
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints, _ = write_table(set_fingerprints(named, words, layout), "fingerprints")
