@@ -78,7 +78,7 @@ def test_fingerprint_matches_definition(texts):
         assert simhash.fingerprint(t, 5, 2) == [plain_fingerprint(t, 5, 42), plain_fingerprint(t, 5, 43)]
 
 
-@pytest.mark.parametrize("layout", [simhash.NARROW, simhash.WIDE])
+@pytest.mark.parametrize("layout", [simhash.NARROW, simhash.WIDE, simhash.wide(1 << 25)])
 def test_anchors_are_all_code_words_in_reach(layout):
     block = np.random.default_rng(1).integers(0, 1 << layout.width, 20)
     index, anchor = simhash.anchors_of(block, layout)
@@ -207,7 +207,7 @@ def test_candidates_outside_the_forest_are_checked(spark, n):
         texts.append(" ".join(own))
     sets = [simhash.shingle_set(t, 5).tobytes() for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    prints = dict((r[0], np.array(r[1:]).view(np.uint64)) for r in simhash.fingerprints(docs, 5, simhash.WIDE).collect())
+    prints = {r[0]: np.array(r[1:-1]).view(np.uint64) for r in simhash.set_fingerprints(docs, 5, simhash.WIDE).collect()}
     apart = {k: int(np.bitwise_count(prints[0] ^ prints[k]).sum()) for k in range(1, n + 1)}
     want = {k for k in apart if simhash.jaccard(sets[0], sets[k]) >= 0.8 and apart[k] <= 39}
     assert len(want) > 0.4 * n
@@ -253,7 +253,7 @@ def test_empty_tables(spark, empty):
     assert chat.digest(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(none, none).count() == 0
-    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.train()).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.train(url_filter.labelled_table(spark).limit(0))).count() == 0
 
 
 # Tokens --------------------------------------------------------------------------------
@@ -327,56 +327,133 @@ def test_packing_round_trip(docs):
 # Lines ---------------------------------------------------------------------------------
 
 
+def plain_align(a, b, depth=0):
+    """Pairs of places that a patience diff of two lists matches, by definition: quadratic chains on copies of the lists."""
+    out, head = [], 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        out.append((head, head))
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+        out.append((len(a) - tail, len(b) - tail))
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if x and y and depth < line_dedup.DEPTH:
+        anchors = [(i, y.index(v)) for i, v in enumerate(x) if x.count(v) == 1 == y.count(v)]
+        if not anchors:
+            nth = lambda z: {(v, z[:i].count(v)): i for i, v in enumerate(z)}
+            anchors = sorted((i, nth(y)[k]) for k, i in nth(x).items() if k in nth(y))
+        size, back = [], []
+        for k, (_, j) in enumerate(anchors):
+            size.append(1 + max((size[p] for p in range(k) if anchors[p][1] < j), default=0))
+            back.append(max((p for p in range(k) if size[p] == size[k] - 1), default=-1) if size[k] > 1 else -1)
+        chain, k = [], max((k for k in range(len(anchors)) if size[k] == max(size)), default=-1)
+        while k >= 0:
+            chain.insert(0, anchors[k])
+            k = back[k]
+        out += [(i + head, j + head) for i, j in chain]
+        if chain:
+            for (i, j), (m, n) in zip([(-1, -1), *chain], [*chain, (len(x), len(y))], strict=True):
+                out += [(p + i + 1 + head, q + j + 1 + head) for p, q in plain_align(x[i + 1 : m], y[j + 1 : n], depth + 1)]
+    return sorted(out)
+
+
+def plain_blocks(a, b):
+    pairs, out = plain_align(a, b), []
+    for i, j in pairs:
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((i, j, 1))
+    return out
+
+
 def plain_line_dedup(rows, min_words):
-    """Lines of any common run with enough words that an earlier document has, by trying all runs."""
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
-    lines = {i: [x.strip() for x in rows[i][1].split("\n")] for i in order}
-    out = {}
-    for k, i in enumerate(order):
-        gone = set()
-        for a in range(len(lines[i])):
-            for b in range(a + 1, len(lines[i]) + 1):
-                part = lines[i][a:b]
-                if sum(len(x.split()) for x in part) < min_words or not part[0] or not part[-1]:
-                    continue
-                for j in order[:k]:
-                    n = len(part)
-                    if any(lines[j][p : p + n] == part for p in range(len(lines[j]) - n + 1)):
-                        gone |= set(range(a, b))
-        rest = [x for n, x in enumerate(rows[i][1].split("\n")) if n not in gone]
-        out[rows[i][0]] = "\n".join(rest) if any(x.strip() for x in rest) else ("" if gone else rows[i][1])
+    """Every document aligned with every earlier one."""
+    out, before = {}, []
+    for doc_id, text in sorted(rows):
+        raw = text.split("\n")
+        full = [i for i, x in enumerate(raw) if x.strip()]
+        lines, gone = [raw[i].strip() for i in full], set()
+        if text in [t for _, t in before] and sum(len(x.split()) for x in lines) >= min_words:
+            out[doc_id] = ""
+            continue
+        for other, _ in before:
+            for i, _, n in plain_blocks(lines, other):
+                if sum(len(x.split()) for x in lines[i : i + n]) >= min_words:
+                    gone |= set(range(full[i], full[i + n - 1] + 1))
+        before.append((lines, text))
+        rest = [x for i, x in enumerate(raw) if i not in gone]
+        out[doc_id] = ("\n".join(rest) if any(x.strip() for x in rest) else "") if gone else text
     return out
 
 
-def test_line_dedup_against_all_runs(spark):
+def test_alignment_against_definition():
+    rng = random.Random(2)
+    for _ in range(3000):
+        pool = range(rng.choice((3, 8, 30)))
+        a, b = ([rng.choice(pool) for _ in range(rng.randint(0, 14))] for _ in "ab")
+        got = line_dedup.aligned(a, b)
+        assert got == plain_blocks(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
+        assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in itertools.pairwise(got))
+    long = list(range(100_000))
+    assert line_dedup.aligned(long, long[1:]) == [(1, 0, 99_999)]
+    assert line_dedup.aligned([7] * 50_000, [7] * 20_000 + [8]) == [(0, 0, 20_000)]
+
+
+def _lines_of(rng, n, words=6):
+    return [prose(rng, words) for _ in range(n)]
+
+
+def test_line_dedup_against_all_alignments(spark):
     rng = random.Random(11)
-    pool = [prose(rng, rng.randint(1, 9)) for _ in range(25)] + ["", "  "]
-    rows = []
-    for i in range(40):
+    pool, rows = [prose(rng, rng.randint(1, 9)) for _ in range(300)] + ["", "  "], []
+    for i in range(60):
         text = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
-        if i % 3 == 0 and rows:
+        for _ in range(2 if i % 3 == 0 and rows else 0):
             other = rows[rng.randrange(len(rows))][1].split("\n")
             a = rng.randrange(len(other))
-            text[2:2] = other[a : a + 6]
+            at = rng.randint(0, len(text))
+            text[at:at] = other[a : a + 6]
         rows.append((i, "\n".join(text)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=12).collect()}
-    assert found == plain_line_dedup(rows, 12)
+    rows += [(70 + k, rows[k][1]) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = plain_line_dedup(rows, 12)
+    assert sum(want[i] != t for i, t in rows) > 10
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs, min_words=12, rare=1000).collect()} == want
+
+
+def test_crossed_and_repeated_blocks_stay(spark):
+    rng = random.Random(12)
+    p, q, a, b, c = (_lines_of(rng, n) for n in (10, 12, 3, 3, 3))
+    rows = [(1, [*a, *p, *b, *q]), (2, [*c, *q, "between", *p]), (3, [*p, "x", *p, "y"])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    found = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(docs).collect()}
+    assert found[1] == rows[0][1]
+    # the plain union of common blocks would take both; the diff holds one order, and the longer block is in it
+    assert found[2] == [*c, "between", *p]
+    # p is once in each earlier text, so one of two goes
+    assert found[3] == ["x", *p, "y"] or found[3] == [*p, "x", "y"]
+
+
+def test_frequent_passages_are_found(spark):
+    rng = random.Random(13)
+    passage = _lines_of(rng, 12)
+    rows = [(i, [*_lines_of(rng, i % 5), *passage, *_lines_of(rng, 3)]) for i in range(80)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string").repartition(7)
+    for rare in (1, line_dedup.RARE, 1000):
+        found = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(docs, rare=rare).collect()}
+        assert found == {i: t if i == 0 else [x for x in t if x not in passage] for i, t in rows}
 
 
 def test_line_dedup_edges(spark, docs):
-    out = line_dedup.dedup(docs, min_words=20)
-    assert out.columns == [*docs.columns, "_whole"] and out.count() == docs.count()
-    got = {(r.doc_id, r._whole): r.text for r in out.collect()}
+    out = line_dedup.dedup(docs, min_words=20, whole="before")
+    assert out.columns == [*docs.columns, "before"] and out.count() == docs.count()
+    got = {(r.doc_id, r.before): r.text for r in out.collect()}
     assert got[None, "no id here"] == "no id here"
     assert any(whole is None and text is None for (_, whole), text in got.items())
-
-
-def test_patience_blocks_move_and_repeat():
-    matches = [(0, 5, 2), (1, 6, 2), (4, 0, 1), (8, 0, 1)]
-    lines = {x for a, _, n in line_dedup.patience(matches) for x in range(a, a + n)}
-    assert lines == {0, 1, 2, 4, 8}
-    assert (0, 5, 3) in line_dedup.patience(matches)
+    assert line_dedup.dedup(docs).columns == docs.columns
 
 
 # Personal data -------------------------------------------------------------------------
@@ -452,6 +529,59 @@ def test_one_observed_mention_reaches_all_others(before):
     assert abs(model.marginals(both)[-len(p) :] - p).max() < 1e-9
 
 
+def _exact(g, model, given):
+    """Marginals of nodes and edges, and the logarithm of the sum of all labellings that agree with ``given``."""
+    n, k = len(g.doc), len(pii.KINDS) + 1
+    node, pair, total = np.zeros((n, k)), np.zeros((len(g.edges), k, k)), 0.0
+    weight = np.array([model.weights[s].sum(0) for s in g.slots])
+    for z in itertools.product(range(k), repeat=n):
+        if any(x >= 0 and x != y for x, y in zip(given, z, strict=True)):
+            continue
+        w = np.exp(sum(weight[i, x] for i, x in enumerate(z)) + sum(model.pairs[min(kind, 1), z[a], z[b]] for a, b, kind in g.edges))
+        total += w
+        node[range(n), z] += w
+        for m, (a, b, _) in enumerate(g.edges):
+            pair[m, z[a], z[b]] += w
+    return node / total, pair / total, np.log(total)
+
+
+def test_messages_and_gradients_against_enumeration():
+    rng = np.random.default_rng(3)
+    model = pii.Field(rng.normal(size=(pii.SHAPES, 5)) * 0.5, rng.normal(size=(2, 5, 5)))
+    text = "a 55512345 and b 10.1.2.3 10.1.2.9 then 55512345"  # a tree: no loops, so messages are exact
+    g = pii.graph([text], [pii.base_spans(text)])
+    assert len(g.doc) == 4 and len(g.edges) == 2
+    for given in (np.full(4, -1), np.where(g.seen > 0, g.seen, -1), np.array([-1, 2, -1, 0])):
+        node, pair, _ = _exact(g, model, given)
+        got = model.beliefs(g, given)
+        assert abs(got[0] - node).max() < 1e-3 and abs(got[1] - pair).max() < 1e-3
+    gold, shown = np.array([4, 2, -1, 0]), np.array([False, True, False, False])
+    by_weight, by_pair = pii.gradients(g, model, gold, shown)
+
+    def likelihood(m):
+        return _exact(g, m, gold)[2] - _exact(g, m, np.where(shown, gold, -1))[2]
+
+    small = 1e-4
+    for kind, i, j in ((0, 2, 2), (0, 0, 1), (1, 4, 0), (1, 0, 0)):
+        step = np.zeros_like(model.pairs)
+        step[kind, i, j] = small
+        want = (likelihood(pii.Field(model.weights, model.pairs + step)) - likelihood(pii.Field(model.weights, model.pairs - step))) / (2 * small)
+        assert abs(want - by_pair[kind, i, j]) < 5e-3
+    for slot, label in ((g.slots[0][2], 4), (g.slots[0][2], 0)):
+        step = np.zeros_like(model.weights)
+        step[slot, label] = small
+        want = (likelihood(pii.Field(model.weights + step, model.pairs)) - likelihood(pii.Field(model.weights - step, model.pairs))) / (2 * small)
+        assert abs(want - by_weight[slot, label]) < 5e-3
+
+
+def test_long_tokens_are_read_whole():
+    long = "a1" * 5000
+    assert pii.shape(long + ".5")[:2] != pii.shape(long + "!5")[:2] and pii.shape(long + "..x")[3] != pii.shape(long + "x")[3]
+    text = "x" * 100_000 + "@mail.example.com " + "10.1.2.3 " * 20_000
+    g = pii.graph([text], [pii.base_spans(text)])
+    assert (g.seen > 0).sum() == 20_001
+
+
 def test_digest_edges(docs):
     model = pii.fit(["a@b.com"])
     found = pii.digest(docs, model)
@@ -482,6 +612,29 @@ def test_marginals_against_enumeration():
     assert np.isfinite(long).all()
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    n = 7
+    e, t, reset, y = rng.normal(size=n), rng.normal(size=(2, 2)), np.zeros(n, dtype=bool), rng.integers(0, 2, n).astype(float)
+    reset[[0, 4]] = True
+
+    def loss(e, t):
+        score = lambda z: sum(e[i] * z[i] for i in range(n)) + sum(t[int(z[i - 1]), int(z[i])] for i in range(n) if not reset[i])
+        return np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=n))) - score(y)
+
+    by_token, by_pair = toxicity.gradients(e, y, reset, t)
+    small = 1e-5
+    for i in range(n):
+        step = np.eye(n)[i] * small
+        assert abs((loss(e + step, t) - loss(e - step, t)) / (2 * small) - by_token[i]) < 1e-6
+    for i, j in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = small
+        assert abs((loss(e, t + step) - loss(e, t - step)) / (2 * small) - by_pair[i, j]) < 1e-6
+    for block in (1, 3, 256):
+        assert np.allclose(toxicity.expectations(e, reset, t, block)[1], toxicity.expectations(e, reset, t)[1])
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(8)
     bad = ["scumbag", "moronic", "trashy"]
@@ -504,7 +657,14 @@ def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (4, 0)], "doc_id long, toxic int")
     found = toxicity.score(docs, toxicity.train(docs, labels))
     assert found.count() == docs.count() and found.where("not (_toxicity.score between 0 and 1)").count() == 0
-    assert toxicity.spans_of("İİ idiot", np.array([0.0, 0.9])) == [{"start": 3, "end": 8, "p": 0.9}]
+    marks = toxicity.Field(np.zeros(toxicity.DIMENSION), -6.0, np.zeros((2, 2)), np.zeros(4))
+    marks.weights[zlib.crc32(b"w:idiot") % toxicity.DIMENSION] = 20.0
+    for text in ("İstanbul idiot scumbag", "İİ idiot", "idiot", "ẞ İ_idiot IDIOT"):
+        (p,) = marks.tag([text])
+        spans = toxicity.spans_of(text, p)
+        assert spans and {text[s["start"] : s["end"]].lower() for s in spans} == {"idiot"}
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumn("_TOXICITY", F.lit(1)), marks)
 
 
 # Chat ----------------------------------------------------------------------------------
@@ -545,12 +705,26 @@ def plain_rule(url):
 def test_rules_and_model(spark):
     urls = ["https://www.Example.com/en/x?y#z", "http://a.example.com/en/1", "http://example.com", "http://notexample.com/en/", "ftp://b.net/es/q", "http://c.net/fr?x", "http://net/fr/", None, "", "no scheme", "://", "http://É.com/#/", "http://x.org?a://b/c", "https://casino-bonus.example/win/jackpot-slots", "https://docs.python-guide.example/guide/install.html", "a://b\nc.com/\nd"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    found = {r.page_id: r for r in url_filter.judge(pages.select("page_id", "url"), url_filter.train()).collect()}
+    found = {r.page_id: r for r in url_filter.judge(pages.select("page_id", "url"), url_filter.train(url_filter.labelled_table(spark))).collect()}
     for i, u in enumerate(urls):
         host, path, rule, verdict = plain_rule(u)
         assert (found[i].host, found[i].path, found[i].rule) == (host, path, rule)
         assert found[i].verdict == (verdict or ("block" if found[i].score >= 0.5 else "allow"))
     assert found[13].verdict == "block" and found[14].verdict == "allow"
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, url_filter.fit([]))
+
+
+def test_url_model_on_unseen_hosts(spark):
+    n, accuracy = url_filter.held_out(url_filter.labelled_urls())
+    assert n > 1000 and accuracy >= 0.98
+    own = spark.createDataFrame([("http://red.example/a", 1), ("http://blue.example/b", 0), (None, 1), ("http://x", None)], "url string, blocked int")
+    model = url_filter.train(own)
+    p = url_filter.predict(model, ["red.example", "blue.example"], ["/a", "/b"])
+    assert p[0] > 0.5 > p[1]
+    # one row and a batch of rows give the same
+    hosts, paths = ["", "é.example", "a" * 5000], ["/ü", "", "/" * 9000]
+    assert np.allclose(url_filter.predict(model, hosts, paths), [url_filter.predict(model, [h], [x])[0] for h, x in zip(hosts, paths, strict=True)])
 
 
 # Media ---------------------------------------------------------------------------------
@@ -587,6 +761,8 @@ def test_sample_is_the_least_hashes(spark):
     want = [r[0] for r in rows.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id").limit(50).collect()]
     assert [r[0] for r in drawn(rows, 50, "doc_id").collect()] == want
     assert drawn(rows, 30_000, "doc_id").count() == 20_000 and drawn(rows.limit(0), 5, "doc_id").count() == 0
+    mostly_equal = rows.withColumn("doc_id", F.when(F.col("doc_id") < 300, F.col("doc_id")).otherwise(-1))
+    assert drawn(mostly_equal, 100, "doc_id").count() == 100 and drawn(mostly_equal, 1000, "doc_id").count() == 301
 
 
 # Search --------------------------------------------------------------------------------
@@ -638,7 +814,7 @@ def test_one_number_with_many_vectors_hides_no_other(spark):
     near = [(1, [1.0, 0.001 * i]) for i in range(200)]  # all nearer than any other number
     rows = [(0, [1.0, 0.0]), *near, *((10 + i, [1.0, 1.0 + i]) for i in range(6))]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = ann.Params(again=1.0, posted=64)  # all files hold all rows
+    whole = ann.Params(again=1.0, posted=128, read=128)  # all files hold all rows
     found = ann.search(vectors, vectors.where("vec_id = 0"), 5, whole).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [1, 10, 11, 12, 13]
 
