@@ -15,28 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import line_dedup, packing, pii, simhash, toxicity
-from corpusloom.llm.common import drop_table, write_table
+from corpusloom.llm.common import drop_table, free_name, write_table
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field scores below 0.5."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("_toxicity.predicted = 0").select(*docs.columns)
+    model, found = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name("_toxicity", docs)
+    return toxicity.score(docs, model, to=found).where(F.col(found)["predicted"] == 0).drop(found)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without blocks of lines (50 words or more) that an earlier document has."""
-    return line_dedup.dedup(docs).select(*docs.columns)
+    return line_dedup.dedup(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more; the smallest doc_id stays, once."""
-    found = simhash.similar_documents(docs, words=5, least=0.8)
-    # rows with a null doc_id have no identity to choose by, and stay
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = docs.where("doc_id is not null")
-    first = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi").withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more; the smallest doc_id stays.
+
+    Rows of one doc_id are one document: they stay or go together, and of those with equal texts one stays.
+    Rows with a null doc_id have no identity to choose by, and stay.
+    """
+    found = simhash.similar_documents(docs.select("doc_id", "text"), words=5, least=0.8)
+    kept, digest = free_name("_kept", docs), free_name("_text_hash", docs)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept))
+    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col(kept), "left_semi")
+    named = named.withColumn(digest, F.sha2("text", 256)).dropDuplicates(["doc_id", digest]).drop(digest)
+    return named.unionAll(docs.where("doc_id is null"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
