@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import CONTROL, bound, let, split_lines, strip, words
+from corpusloom.functions.text import CONTROL, NWS, WS, bound, let, split_lines, words
 
 # Word lists, character classes and weights of the score.
 STOP_WORDS = "的 了 是 在 和 有 我 也 就 人 都 一个 上 不 与 为 这 那 中 来 到 对 以 可 会 被 用 他 她 它 们 而 但 或 如 从 说 要 去 你 还 把 让 给 想 能 没 很 只 这个 自己".split()
@@ -26,24 +26,28 @@ def _any(text: Column, keywords: list[str]) -> Column:
     return out
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+def _count(text: Column, one_of: str) -> Column:
+    """Characters of a class: what its removal takes away, as that makes no list of all matches."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{one_of}+", ""))).cast("double")
 
 
 def score(text: Column) -> Column:
     """Penalties in a fixed order of double subtractions; the empty text scores 0."""
-    return let(F.struct(text.alias("t"), words(text).alias("w")), lambda x: _score(x["t"], x["w"]))
+    n_tokens = F.length(F.regexp_replace(F.regexp_replace(text, f"{NWS}+", "x"), f"{WS}+", ""))
+    # stop words are ideographs all
+    stops = F.when(text.rlike(f"[{CJK}]"), F.size(F.filter(words(text), lambda w: w.isin(*STOP_WORDS)))).otherwise(0)
+    filled = F.filter(split_lines(text), lambda x: x.rlike(NWS))
+    lines = F.aggregate(filled, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + F.length(x)).alias("sum"), (a["n"] + 1).alias("n")))
+    return let(F.struct(text.alias("t"), n_tokens.cast("double").alias("tokens"), stops.cast("double").alias("stops"), lines.alias("lines"), _count(text, ENDERS).alias("enders")), _score)
 
 
-def _score(text: Column, tokens: Column) -> Column:
+def _score(x: Column) -> Column:
+    text, n_tokens, stops = x["t"], x["tokens"], x["stops"]
     n = F.length(text).cast("double")
     n = F.when(n > 0, n)
-    n_tokens = F.size(tokens).cast("double")
     many = n_tokens > 10
     per_token = F.when(n_tokens > 0, n_tokens)
-    filled = F.filter(split_lines(text), lambda x: strip(x) != "")
-    mean_line = let(filled, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.length(x)) / F.when(F.size(f) > 0, F.size(f)))
-    stops = F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS))).cast("double")
+    mean_line = x["lines"]["sum"] / F.when(x["lines"]["n"] > 0, x["lines"]["n"])
     rules = [
         (text.rlike(LONG_RUN), 0.25),
         (text.rlike(MIXED), 0.2),
@@ -55,7 +59,7 @@ def _score(text: Column, tokens: Column) -> Column:
         (n > 100000, 0.1),
         (_any(text, TEMPLATE_KEYWORDS), 0.25),
         (many & (stops / per_token < 0.01), 0.1),
-        (many & (_count(text, ENDERS) / per_token < 0.02), 0.1),
+        (many & (x["enders"] / per_token < 0.02), 0.1),
         (_count(text, "[a-zA-Z0-9]") / n > 0.8, 0.15),
         (_any(text, SYSTEM_KEYWORDS), 0.15),
         (_count(text, f"[{CJK}]") / n > 0.3, -0.2),

@@ -7,6 +7,7 @@ excludes the line feed only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Spaces below 256 are listed one by one, as Java looks such up in one table; the complement begins with printable ASCII.
+_SPACES = r"\t\n\x{0b}\x{0c}\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{_SPACES}]"
 NWS = f"[^{_SPACES}]"
 
@@ -54,11 +56,18 @@ BOOK_METADATA = [
     f"发{WS}*行{WS}*[：:]{WS}*[^\\n]+",
 ]
 FORMAT_MARKERS = [f"={{3,}}{WS}*", f"-{{3,}}{WS}*", f"～{{2,}}{WS}*", f"第{WS}*[0-9]+{WS}*章{WS}*-{{2,}}", "「[^」]*」", "『[^』]*』", r"\[[0-9]+\]", rf"\[[0-9]+{WS}*[^\]]*\]"]
+#: Where wide characters (ideographs and full-width marks) begin; most patterns hold one, so other texts need few of them.
+WIDE = r"[\x{2e80}-\x{ffff}]"
 #: The ninth marker, in Java's syntax: a bracketed number after a character, at the end of a word.
 INNER_FOOTNOTE = rf"(?<={NWS})\[[0-9]+\](?={WS}|$)"
 SENTENCE_END, CLOSERS = "。！？.!?", "」』】)\"'"
 
 
+def _narrow(patterns: list[str]) -> list[str]:
+    """Those that hold no wide character outside of a choice."""
+    return [p for p in patterns if not any("\u2e80" <= c for c in re.sub(r"\[[^\]]*\]", "", p))]
+
+
 def fold(text: Column, patterns: list[str], by: str = "") -> Column:
     """Replace each pattern in turn."""
     return reduce(lambda t, p: F.regexp_replace(t, p, by), patterns, text)
@@ -115,9 +124,21 @@ def strip_special(text: Column, keep: str | None = None) -> Column:
     return F.regexp_replace(text, f"[^{keep}]" if keep else CONTROL, "")
 
 
+def _by_width(text: Column, use: Callable[[Column, Callable], Column]) -> Column:
+    """``use(text, choice of patterns)``: all of them, or those that a text without wide characters can hold.
+
+    Removal makes no new characters, so a chain of removals is chosen once, by its input.
+    """
+    return F.when(text.rlike(WIDE), use(text, lambda p: p)).otherwise(use(text, _narrow))
+
+
+def _wechat_tags(text: Column, of: Callable) -> Column:
+    return fold(F.regexp_replace(fold(text, of(WECHAT)), r"[ \t]+", " "), of(EMPTY_PARENTHESES))
+
+
 def wechat_tags(text: Column) -> Column:
     """Also squeezes blanks and empty parentheses of any text."""
-    return fold(F.regexp_replace(fold(text, WECHAT), r"[ \t]+", " "), EMPTY_PARENTHESES)
+    return _by_width(text, _wechat_tags)
 
 
 def strip_urls(text: Column) -> Column:
@@ -128,12 +149,20 @@ def strip_emails(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, "")
 
 
+def _book_metadata(text: Column, of: Callable) -> Column:
+    return fold(text, of(BOOK_METADATA))
+
+
 def book_metadata(text: Column) -> Column:
-    return fold(text, BOOK_METADATA)
+    return _by_width(text, _book_metadata)
+
+
+def _format_markers(text: Column, of: Callable) -> Column:
+    return F.regexp_replace(fold(text, of(FORMAT_MARKERS)), INNER_FOOTNOTE, "")
 
 
 def format_markers(text: Column) -> Column:
-    return F.regexp_replace(fold(text, FORMAT_MARKERS), INNER_FOOTNOTE, "")
+    return _by_width(text, _format_markers)
 
 
 def page_numbers(text: Column) -> Column:
@@ -164,10 +193,14 @@ def extracted_clean(text: Column) -> Column:
 
 def clean_file(text: Column, urls: bool = True, emails: bool = True, numbers: bool = True) -> Column:
     """The bundle for a whole file."""
-    out = format_markers(book_metadata(clean_whitespace(drop_empty_lines(fix_encoding(text)))))
-    out = strip_urls(out) if urls else out
-    out = strip_emails(out) if emails else out
-    return page_numbers(out) if numbers else out
+
+    def chain(value: Column, of: Callable) -> Column:
+        out = _format_markers(_book_metadata(clean_whitespace(drop_empty_lines(fix_encoding(value))), of), of)
+        out = strip_urls(out) if urls else out
+        out = strip_emails(out) if emails else out
+        return page_numbers(out) if numbers else out
+
+    return _by_width(text, chain)
 
 
 def light(text: Column) -> Column:
@@ -176,11 +209,15 @@ def light(text: Column) -> Column:
 
 def standard(text: Column, urls: bool = True, numbers: bool = True) -> Column:
     """The bundle for a line (personal data, quality and duplicates come after it)."""
-    out = wechat_tags(strip_special(fix_encoding(text)))
-    out = strip_urls(out) if urls else out
-    out = format_markers(book_metadata(out))
-    out = page_numbers(out) if numbers else out
-    return drop_empty_lines(clean_whitespace(out))
+
+    def chain(value: Column, of: Callable) -> Column:
+        out = _wechat_tags(strip_special(fix_encoding(value)), of)
+        out = strip_urls(out) if urls else out
+        out = _format_markers(_book_metadata(out, of), of)
+        out = page_numbers(out) if numbers else out
+        return drop_empty_lines(clean_whitespace(out))
+
+    return _by_width(text, chain)
 
 
 def sentences(text: Column, min_length: int = 10) -> Column:

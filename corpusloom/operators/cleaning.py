@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import pii, quality, text
@@ -19,20 +19,24 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 def clean_corpus(docs: DataFrame, min_score: float = 0.5, line_threshold: int = 3, unique: bool = True) -> DataFrame:
     """One row for each document that has lines left, in the order and form of the store's records.
 
-    Exact copies go first (one partial aggregation).  Lines are exploded in place; the one
-    shuffle, by doc_id, serves the line windows and the reassembly alike.
+    Exact copies go first (one partial aggregation).  Lines are exploded and cleaned in
+    place, once; the one shuffle of lines, by doc_id, serves the window that counts equal
+    lines and the one aggregation that gathers lines and totals alike.  Rows with a null
+    doc_id are left out: nothing tells one such document from another.
     """
+    docs = docs.where("doc_id is not null")
     if unique:
         docs = docs.join(dedup.exact(docs).select("doc_id"), "doc_id", "left_semi")
-    rows = clean_lines(docs).repartition("doc_id")
-    good = F.col("score") >= min_score
-    totals = rows.groupBy("doc_id").agg(F.sum("pii").alias("pii_count"), F.count_if(~good).alias("quality_filtered"), F.count_if(good).alias("good"))
-    kept = dedup.lines_over_threshold(rows.where(good), line_threshold)
-    whole = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "score"))).alias("l"))
-    out = whole.join(totals, "doc_id")
+    rows = clean_lines(docs).repartition("doc_id").withColumn("good", F.col("score") >= min_score)
+    # equal good lines of a document: how often, and the first of them
+    alike = Window.partitionBy("doc_id", "line", "good")
+    rows = rows.withColumn("n", F.count("*").over(alike)).withColumn("first", F.min("line_no").over(alike))
+    kept = F.col("good") & ((F.col("n") < line_threshold) | (F.col("line_no") == F.col("first")))
+    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("line_no", "line", "score")))).alias("l"), F.sum("pii").alias("pii_count"), F.count_if(~F.col("good")).alias("quality_filtered"), F.count_if("good").alias("good")).where(F.size("l") > 0)
     joined = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     mean = F.aggregate("l", F.lit(0.0), lambda a, x: a + x["score"]) / F.size("l")
-    return out.select("doc_id", joined.alias("cleaned"), F.md5(joined).alias("cleaned_md5"), F.octet_length(joined).cast("long").alias("cleaned_size"), F.size("l").cast("long").alias("line_count"), F.round(mean, 9).alias("quality_score"), "pii_count", "quality_filtered", (F.col("good") - F.size("l")).alias("dedup_filtered"))
+    out = text.bound(out, cleaned=joined)
+    return out.select("doc_id", "cleaned", F.md5("cleaned").alias("cleaned_md5"), F.octet_length("cleaned").cast("long").alias("cleaned_size"), F.size("l").cast("long").alias("line_count"), F.round(mean, 9).alias("quality_score"), "pii_count", "quality_filtered", (F.col("good") - F.size("l")).alias("dedup_filtered"))
 
 
 def corpus_stats(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
