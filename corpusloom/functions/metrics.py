@@ -64,6 +64,11 @@ def bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
     return precision.select("n", F.when(F.min("p").over(up_to) > 0, F.exp(F.avg(F.log(F.when(F.col("p") > 0, F.col("p")))).over(up_to))).otherwise(F.lit(0.0)).alias("score"))
 
 
+def classes(rows: DataFrame, *columns: Column) -> DataFrame:
+    """(class): all values of the columns, each once."""
+    return rows.select(F.explode(F.array(*columns)).alias("class")).distinct()
+
+
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
     """(class, tp, fp, fn) of all classes on either side."""
     each = rows.select(predicted.alias("p"), actual.alias("a"))
@@ -91,6 +96,12 @@ def perplexity(loss: Column, tokens: Column) -> Column:
     return F.when(mean > 709.78, F.lit(float("inf"))).otherwise(F.exp(mean))
 
 
+def evaluation_perplexity(loss: Column, rows: Column) -> Column:
+    """As a trainer reports it: of the row-weighted mean loss, infinite from 10 on."""
+    mean = F.sum(loss * rows) / F.when(F.sum(rows) > 0, F.sum(rows))
+    return F.when(mean < 10, F.exp(mean)).otherwise(F.lit(float("inf")))
+
+
 def balance_loss(rows: DataFrame, logits: Column, k: int, alpha: float = 0.01) -> DataFrame:
     """alpha * experts * sum of (share of tokens routed * mean probability), and the mean square of the logits."""
     probs = rows.select(softmax(logits).alias("p"), top_indexes(logits, k).alias("top"), logits.alias("x"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +27,24 @@ def normalize(url: Column) -> Column:
     return F.regexp_replace(url, "(?s)#.*$", "")
 
 
+def resolve(url: Column, base: Column) -> Column:
+    """The absolute form of a link of page ``base``, without the fragment; null where it is no URL at all."""
+
+    def run(links: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([_joined(a, b) for a, b in zip(links, bases, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(url, base)
+
+
+def _joined(url: str | None, base: str | None) -> str | None:
+    if url is None:
+        return None
+    try:
+        return urljoin(base or "", url).partition("#")[0]
+    except ValueError:
+        return None
+
+
 def is_valid(url: Column, base: Column | None = None, pattern: str | None = None) -> Column:
     out = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https")
     if base is not None:
@@ -45,7 +67,7 @@ def title(html: Column) -> Column:
     og = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", 1)
     own = strip(unescape(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)))
     for end in TITLE_ENDS:
-        own = F.when(F.contains(own, F.lit(end)), strip(F.substring_index(own, end, 1))).otherwise(own)
+        own = strip(F.regexp_replace(own, f"(?s){re.escape(end)}.*$", ""))
     return F.when(og != "", strip(unescape(og))).otherwise(own)
 
 

@@ -44,3 +44,14 @@ def corpus_stats(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     lines_in = docs.agg(F.count("*").alias("total_docs"), F.sum(F.size(F.filter(text.iterated_lines(F.col("text")), lambda x: text.strip(x) != ""))).alias("total_lines"))
     out = cleaned.agg(F.count("*").alias("kept_docs"), F.sum("line_count").alias("output_lines"), F.sum("pii_count").alias("pii_detected"), F.sum("quality_filtered").alias("quality_filtered"), F.sum("dedup_filtered").alias("dedup_filtered"))
     return lines_in.crossJoin(out).withColumn("retention", F.round(F.col("output_lines") / F.when(F.col("total_lines") > 0, F.col("total_lines")), 9))  # one row each
+
+
+def clean_files(files: DataFrame, urls: bool = False, emails: bool = False, numbers: bool = True) -> DataFrame:
+    """(path, name, content, error) of text files (path, name, content), cleaned as wholes, in the order of their paths; a file without content has an error instead."""
+    rows = files.select("path", "name", text.clean_file(F.col("content"), urls, emails, numbers).alias("content"))
+    return rows.withColumn("error", F.when(F.col("content").isNull(), F.lit("no text"))).orderBy("path")
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """(succeeded, failed) of rows with an error or none."""
+    return results.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))

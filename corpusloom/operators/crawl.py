@@ -31,3 +31,13 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         level = level.join(edges, "url").select(F.col("link").alias("url"), F.lit(d).alias("depth")).distinct().join(seen.select("url"), "url", "left_anti")
         seen = seen.unionAll(level)
     return seen
+
+
+def corpus_counts(pages: DataFrame, text: str = "text", unique: bool = True) -> DataFrame:
+    """(total, empty, duplicates, added) of fetched pages with their texts; counted by hash first, so copies are no hot task."""
+    full = F.col(text).isNotNull() & (F.col(text) != "")
+    by_text = pages.groupBy(F.when(full, urls.content_hash(F.col(text))).alias("h")).agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    added = F.when(F.col("h").isNotNull(), F.lit(1) if unique else F.col("n")).otherwise(0)
+    out = by_text.agg(zero("n").alias("total"), zero(F.when(F.col("h").isNull(), F.col("n"))).alias("empty"), zero(added).alias("added"))
+    return out.select("total", "empty", (F.col("total") - F.col("empty") - F.col("added")).alias("duplicates"), "added")

@@ -17,8 +17,16 @@ SCHEMAS = {
 KEYS = {"crawler_pages": "url", "crawl_stats": "date", "cleaned_documents": "original_file_path", "cleaning_runs": "run_id"}
 
 
+#: Versions of a table that are kept: the last one and those that a reader may still hold.
+VERSIONS = 3
+
+
 class Store:
-    """The four tables under one folder; writes replace a table with its next version."""
+    """The four tables under one folder; writes replace a table with its next version.
+
+    A version's folder is claimed before it is written, by a marker that only one writer
+    can create; a second writer at the same time fails instead of losing rows.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -38,9 +46,72 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/v={versions[-1]}")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """The next version; readers of the last one are not disturbed, and an unfinished one is never read."""
+        """The next version; readers of the last ones are not disturbed, and an unfinished one is never read."""
         version = (self._versions(name) or [0])[-1] + 1
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        claim = Path(f"{self.folder}/{name}/_claim-{version}")
+        fs = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"another writer is at version {version} of {name}")
+        try:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        finally:
+            fs.delete(claim, False)
+        for old in self._versions(name)[:-VERSIONS]:
+            fs.delete(Path(f"{self.folder}/{name}/v={old}"), True)
+
+    def init(self) -> None:
+        """Empty tables where there are none."""
+        for name, schema in SCHEMAS.items():
+            if not self.exists(name):
+                self.write(name, self.spark.createDataFrame([], schema))
+
+    def exists(self, name: str) -> bool:
+        return bool(self._versions(name))
+
+    def drop_all(self) -> None:
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in SCHEMAS:
+            path = Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def info(self, name: str) -> list[tuple[str, str]]:
+        """Columns and types of a table."""
+        return self.read(name).dtypes
+
+    def backup(self, folder: str) -> list[str]:
+        """The present version of each table that there is, as tables under another folder; their names."""
+        names = [n for n in SCHEMAS if self.exists(n)]
+        for name in names:
+            self.read(name).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}/v=1")
+        return names
+
+    def create(self, name: str, rows: DataFrame) -> int:
+        """Adds the rows whose key is neither in the table nor twice among them; how many were added."""
+        table = self.read(name)
+        new = rows.dropDuplicates([KEYS[name]]).join(table.select(KEYS[name]), KEYS[name], "left_anti")
+        before = table.count()
+        self.write(name, upsert(table, new, KEYS[name]))
+        return self.count(name) - before
+
+    def update(self, name: str, condition: Column, **values: Column) -> int:
+        """Sets columns of the rows that fit; how many they are."""
+        table, hit = self.read(name), F.coalesce(condition, F.lit(False))
+        n = table.where(hit).count()
+        if n:
+            changed = [F.when(hit, values[c]).otherwise(F.col(c)).cast(t).alias(c) if c in values else F.col(c) for c, t in table.dtypes]
+            self.write(name, table.select(*changed))
+        return n
+
+    def list(self, name: str, limit: int = 100, offset: int = 0) -> DataFrame:
+        return page(self.read(name), limit, offset)
+
+    def count(self, name: str) -> int:
+        return self.read(name).count()
+
+    def start_run(self, run_id: str, input_dir: str, output_dir: str | None, at: Column) -> None:
+        row = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(input_dir).alias("input_dir"), F.lit(output_dir).cast("string").alias("output_dir"), at.cast("timestamp").alias("started_at"))
+        self.create("cleaning_runs", row)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         self.write(name, upsert(self.read(name), rows, KEYS[name]))
@@ -48,16 +119,62 @@ class Store:
     def delete(self, name: str, condition: Column) -> None:
         self.write(name, self.read(name).where(~F.coalesce(condition, F.lit(False))))
 
-    def delete_run(self, run_id: str) -> None:
-        """The run and its documents."""
-        for name in ("cleaned_documents", "cleaning_runs"):
-            self.delete(name, F.col("run_id") == run_id)
+    def delete_run(self, run_id: str, with_documents: bool = True) -> bool:
+        """The run and, unless told otherwise, its documents; whether there was such a run."""
+        documents, runs = without_run(self.read("cleaned_documents"), run_id), without_run(self.read("cleaning_runs"), run_id)
+        found = not self.read("cleaning_runs").where(F.col("run_id") == run_id).isEmpty()
+        if with_documents:
+            self.write("cleaned_documents", documents)
+        if found:
+            self.write("cleaning_runs", runs)
+        return found
 
     def finish_run(self, run_id: str, at: Column) -> None:
         """Sets the end of a run and, if it has documents, its totals."""
         self.write("cleaning_runs", finish(self.read("cleaning_runs"), self.read("cleaned_documents"), run_id, at))
 
 
+def without_run(rows: DataFrame, run_id: str) -> DataFrame:
+    """Rows of other runs, or of none."""
+    return rows.where(~F.coalesce(F.col("run_id") == run_id, F.lit(False)))
+
+
+def find(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns have these values, in order of id: by url, content_hash, original_md5, cleaned_md5, original_file_path, run_id, date or id."""
+    return reduce(lambda r, c: r.where(F.col(c[0]) == F.lit(c[1])), equal.items(), rows).orderBy("id")
+
+
+def find_by_domain(pages: DataFrame, domain: str, limit: int = 100) -> DataFrame:
+    """The first crawled pages of a domain."""
+    return find(pages, domain=domain, is_crawled=1).limit(limit)
+
+
+def exists(rows: DataFrame, **equal) -> bool:
+    return not find(rows, **equal).isEmpty()
+
+
+def is_crawled(pages: DataFrame, url: str) -> bool:
+    return exists(pages, url=url, is_crawled=1)
+
+
+def is_processed(documents: DataFrame, md5: str) -> bool:
+    return exists(documents, original_md5=md5)
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is among the values of ``wanted``: many lookups as one semi join."""
+    return rows.join(wanted.select(column).distinct(), column, "left_semi")
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """(total, crawled, domains) of the pages table; one scan."""
+    return pages.agg(F.count("*").alias("total"), F.count_if(F.col("is_crawled") == 1).alias("crawled"), F.count_distinct("domain").alias("domains"))
+
+
+def processed_hashes(documents: DataFrame) -> DataFrame:
+    return documents.where("coalesce(original_md5, '') != ''").select("original_md5").distinct()
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows replace those with the same key and keep their id; new ones get the next ids in order of the key."""
     have = [c for c in table.columns if c != "id"]

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import lines, words
+from corpusloom.scratch import free_name, write_table
 
 PAD, IGNORE = 1, -100
 
@@ -21,26 +22,31 @@ def line_tokens(docs: DataFrame, tokens=words) -> DataFrame:
     return lines(docs).select("doc_id", "line_no", tokens(F.col("line")).alias("tokens"))
 
 
+def _ranged(rows: DataFrame, order: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """Rows in ranges of ``order``, written with the number of their range; and the name of that column."""
+    part = free_name("_range", rows)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id())
+    return write_table(ranged, "ranges")[0], part
+
+
+def _placed(ranged: DataFrame, part: str, order: tuple[str, ...], size: str) -> DataFrame:
+    before, total = free_name("_before", ranged), free_name("_total", ranged)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(F.sum(size).alias(total))
+    totals = totals.select(part, F.coalesce(F.sum(total).over(upto(Window.orderBy(part))), F.lit(0)).alias(before))
+    within = F.coalesce(F.sum(size).over(upto(Window.partitionBy(part).orderBy(*order))), F.lit(0))
+    placed = ranged.withColumn("offset", within).join(F.broadcast(totals), part)  # one row for each range
+    return placed.withColumn("offset", F.col("offset") + F.col(before)).drop(part, before)
+
+
 def offsets(rows: DataFrame, order: tuple[str, ...] = ("doc_id", "line_no"), size: str = "n") -> DataFrame:
-    """Adds ``offset``: the sum of ``size`` over all rows before, in ``order``.
+    """Adds ``offset``: the sum of ``size`` over all rows before, in ``order`` (nulls first).
 
-    Two-level prefix sum: within the first order column's values, then over their
-    totals dealt out in ranges, so no task holds all rows.
+    Two-level prefix sum: rows are dealt out in ranges of ``order``, whatever its values;
+    sums run within a range and over the ranges' totals (one row for each).  No task holds
+    more than its range.
     """
-    first, rest = order[0], list(order[1:])
-    within = Window.partitionBy(first).orderBy(*(rest or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    totals = rows.groupBy(first).agg(F.sum(size).alias("_t"))
-    spans = totals.withColumn("_range", F.floor(F.col(first) / 1024))
-    ranges = spans.groupBy("_range").agg(F.sum("_t").alias("_rt"))
-    blocks = ranges.withColumn("_block", F.floor(F.col("_range") / 1024))
-    tops = blocks.groupBy("_block").agg(F.sum("_rt").alias("_bt"))
-    before = lambda by, key, value: F.coalesce(F.sum(value).over((Window.partitionBy(by) if by else Window.partitionBy()).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("_block", before(None, "_block", "_bt").alias("_b0"))
-    blocks = blocks.select("_range", "_block", before("_block", "_range", "_rt").alias("_b1")).join(tops, "_block")
-    spans = spans.select(F.col(first), "_range", before("_range", first, "_t").alias("_b2")).join(blocks, "_range")
-    base = spans.select(F.col(first), (F.col("_b0") + F.col("_b1") + F.col("_b2")).alias("_base"))
-    return out.join(base, first).withColumn("offset", F.col("_base") + F.col("_in")).drop("_base", "_in")
+    return _placed(*_ranged(rows, order), order, size)
 
 
 def window_count(n: Column, length: int) -> Column:
@@ -56,8 +62,10 @@ def pack_windows(rows: DataFrame, length: int, pad: Column, tokens: str = "token
     gather a few stretches instead of single tokens.
     """
     stride = length // 2
-    placed = offsets(rows.withColumn("n", F.size(tokens)))
-    total = rows.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("total"))
+    order = ("doc_id", "line_no")
+    ranged, part = _ranged(rows.withColumn("n", F.size(tokens)), order)  # tokens are made once
+    placed = _placed(ranged, part, order, "n")
+    total = ranged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     placed = placed.where("n > 0").crossJoin(F.broadcast(total))  # one row
     last = window_count(F.col("total"), length) - 1
     lowest = F.greatest(F.lit(0), F.floor((F.col("offset") - length) / stride) + 1)
@@ -84,34 +92,53 @@ def pad_lines(rows: DataFrame, length: int, pad: Column, tokens: str = "tokens")
 
 def collate(rows: DataFrame, batch: str, ids: str = "ids", labels: str | None = None, max_length: int | None = None, pad: int = PAD) -> DataFrame:
     """Rows of a batch padded to its longest (at most ``max_length``); labels are padded with -100, or copied from ids where none are given (causal)."""
-    longest = rows.groupBy(batch).agg(F.max(F.size(ids)).alias("width"))
-    longest = longest.withColumn("width", F.least("width", F.lit(max_length)) if max_length else F.col("width"))
-    out = rows.join(longest, batch)
+    # a window, so that rows are made once; a batch is small
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    out = rows.withColumn("width", F.least(longest, F.lit(max_length)) if max_length else longest)
     n = F.least(F.size(ids), F.col("width"))
     out = out.withColumn("mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.col("width") - n)))
     out = out.withColumn("out_labels", padded(F.col(labels or ids), F.col("width"), F.lit(IGNORE)))
     return out.withColumn("out_ids", padded(F.col(ids), F.col("width"), F.lit(pad)))
 
 
-def dynamic_batches(rows: DataFrame, max_tokens: int, max_batch: int, group: str = "bucket", drop_last: bool = False) -> DataFrame:
-    """(bucket, idx, length, batch): greedy batches of rows sorted by length within each group.
-
-    A batch closes when its longest row times its size would pass ``max_tokens``.  The
-    fold depends on its order, so a group is one task; split the input into groups.
+def _greedy(counts: list[tuple[int, int]], max_tokens: int, max_batch: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """For (length, rows) in order of length: (length, batch that is open, rows that still go there, rows of each batch after it); and the last batch."""
+    out, batch, held = [], 0, 0
+    for length, n in counts:
+        most = max(1, min(max_batch, max_tokens // length if length > 0 else max_batch))
+        room = min(n, max(0, most - held) if held else most)
+        out.append((length, batch, room, most))
+        rest = n - room
+        if rest:
+            full, last = divmod(rest - 1, most)
+            batch, held = batch + full + 1, last + 1
+        else:
+            held += room
+    return out, batch
+
+
+def dynamic_batches(rows: DataFrame, max_tokens: int, max_batch: int, drop_last: bool = False) -> DataFrame:
+    """(idx, length, batch): greedy batches over all rows in order of (length, idx).
+
+    A batch closes when its longest row times its size would pass ``max_tokens``, or when
+    it has ``max_batch`` rows; ``drop_last`` leaves out the last one.  How batches close
+    depends on the number of rows of each length only: that table (as many rows as there
+    are lengths) is folded on the driver, and a row's batch follows from its place among
+    the rows of its length.
     """
-
-    def fold(group_rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = group_rows.sort_values(["length", "idx"], kind="stable")
-        batch, size, numbers = 0, 0, []
-        for n in ordered["length"]:
-            if size and (n * (size + 1) > max_tokens or size >= max_batch):
-                batch, size = batch + 1, 0
-            size += 1
-            numbers.append(batch)
-        ordered = ordered.assign(batch=numbers)
-        return ordered[ordered["batch"] < batch] if drop_last else ordered
-
-    return rows.select(group, "idx", "length").groupBy(group).applyInPandas(fold, f"{group} long, idx long, length long, batch long")
+    kept = rows.select(F.col("idx").cast("long").alias("idx"), F.col("length").cast("long").alias("length"))
+    placed = offsets(kept.withColumn("one", F.lit(1)), ("length", "idx"), "one").drop("one")
+    counts = [(int(r[0]), int(r[1])) for r in kept.groupBy("length").count().orderBy("length").collect()]
+    plan, last = _greedy(counts, max_tokens, max_batch)
+    first, starts = 0, []
+    for (length, batch, room, most), (_, n) in zip(plan, counts, strict=True):
+        starts.append((length, batch, room, most, first))
+        first += n
+    steps = rows.sparkSession.createDataFrame(starts, "length long, open long, room long, most long, first long")
+    nth = F.col("offset") - F.col("first")
+    batch = F.when(nth < F.col("room"), F.col("open")).otherwise(F.col("open") + 1 + F.floor((nth - F.col("room")) / F.col("most")))
+    out = placed.join(F.broadcast(steps), "length").select("idx", "length", batch.cast("long").alias("batch"))  # one row for each length
+    return out.where(F.col("batch") < last) if drop_last else out
 
 
 def shards(rows: DataFrame, size: int, order: str) -> DataFrame:

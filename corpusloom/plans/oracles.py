@@ -65,6 +65,11 @@ def page_numbers(x: str) -> str:
     return rr(x, f"(?m){text.PAGE_NUMBER}")
 
 
+def clean_file_plain(x: str) -> str:
+    """The whole-file bundle with links and addresses left in."""
+    return page_numbers(markers(fold(spaces(by_line(fix_encoding(x), False)), text.BOOK_METADATA)))
+
+
 def clean_file(x: str) -> str:
     out = markers(fold(spaces(by_line(fix_encoding(x), False)), text.BOOK_METADATA))
     return page_numbers(rr(fold(out, text.URLS), text.EMAIL))
@@ -175,6 +180,19 @@ _CHAT = f"{q(USER)} || instruction || case when input != '' then chr(10) || inpu
 _TOKENS = f"(select doc_id, line_no, list_transform({words('line')}, lambda w: length(w)) as tokens from {FULL_LINES})"
 
 
+def listed(x: str) -> str:
+    """A digest of a whole list, order and all."""
+    return f"md5(array_to_string({x}, ','))"
+
+
+def filled(x: str, width: str, pad: int) -> str:
+    return f"list_concat({x}[:{width}], list_transform(range(greatest({width} - len({x}), 0)), lambda i: {pad}))"
+
+
+def _mask(x: str, width: str) -> str:
+    return f"list_concat(list_transform(range(least(len({x}), {width})), lambda i: 1), list_transform(range(greatest({width} - len({x}), 0)), lambda i: 0))"
+
+
 def _pack(tokens: str, length: int) -> str:
     s = length // 2
     return f"""with t as (select doc_id, line_no, unnest(tokens) as x, unnest(range(len(tokens))) as i from {tokens}),
@@ -190,14 +208,13 @@ _BATCHED = f"(select doc_id, line_no, doc_id // 8 as batch, tokens as ids, list_
 
 
 def _collate(labels: str, most: int) -> str:
-    return f"""select doc_id, line_no, width, coalesce(list_sum(ids[:width]), 0) + (width - least(len(ids), width)) as id_sum,
-coalesce(list_sum({labels}[:width]), 0) - 100 * (width - least(len(ids), width)) as label_sum, least(len(ids), width) as mask_sum
+    return f"""select doc_id, line_no, width, {listed(filled('ids', 'width', 1))} as ids, {listed(filled(labels, 'width', -100))} as labels, {listed(_mask('ids', 'width'))} as mask
 from (select *, least(max(len(ids)) over (partition by batch), {most}) as width from {_BATCHED})"""
 
 
-_LOGITS = "(select vec_id, list_transform(embedding[1:10], lambda v: v::double) as x, label from embeddings)"
+_LOGITS = "(select vec_id, list_transform(embedding, lambda v: v::double) as x, label from embeddings)"
 _SOFT = "(select vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x)) / list_sum(list_transform(x, lambda u: exp(u - list_max(x))))) as p from {0})"
-_RANKED = "(select vec_id, label, i - 1 as i, v, row_number() over (partition by vec_id order by v desc, i) as r from (select vec_id, label, unnest(x) as v, unnest(range(1, 11)) as i from {0}))"
+_RANKED = "(select vec_id, label, i - 1 as i, v, row_number() over (partition by vec_id order by v desc, i) as r from (select vec_id, label, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from {0}))"
 
 _COS = "0.5::double * (1 + cos(pi() * 0.5 * 2.0 * (s - 100) / 900.0::double))"
 _PERIOD = "floor(ln(s * 1.0::double / 100 + 1) / ln(2) + 1e-9)"
@@ -229,6 +246,49 @@ def _scalar(x: str) -> str:
     return f"select doc_id, {x} as out from documents"
 
 
+def _paragraphs(most: int, overlap: int) -> str:
+    """Parts by a walk over paragraphs that carries the part's text and its last two pieces."""
+    tail = f"right(case when w.b is null then w.a else w.b || chr(10) || chr(10) || w.a end, {overlap})" if overlap else "null"
+    closes = f"w.held + length(s.p) > {most}"
+    begun = f"{tail} || chr(10) || chr(10) || s.p" if overlap else "s.p"
+    size = f"length({tail}) + length(s.p) + 2" if overlap else "length(s.p) + 2"
+    return f"""with recursive s as (select doc_id, p, rn from (select doc_id, unnest(l) as p, unnest(range(1, len(l) + 1)) as rn from (select doc_id, string_split(text, chr(10)) as l from documents))),
+w as (select doc_id, rn, 0 as part, p as content, p as a, null::varchar as b, length(p) + 2 as held from s where rn = 1
+union all select s.doc_id, s.rn, case when {closes} then w.part + 1 else w.part end, case when {closes} then {begun} else w.content || chr(10) || chr(10) || s.p end, s.p, case when {closes} then {tail} else w.a end,
+case when {closes} then {size} else w.held + length(s.p) + 2 end from w join s on s.doc_id = w.doc_id and s.rn = w.rn + 1),
+z as (select doc_id, part, arg_max(content, rn) as content from w group by 1, 2)"""
+
+
+def _unescape(x: str) -> str:
+    """The entities that the pages hold."""
+    return f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+#: Pages as the tables have them: one article with flat text, one div of class ad, links in nav; parts are cut by patterns, where the library reads any markup.
+def _pieces(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({x}, '(?s)<!--.*?-->|<[^>]*>'), lambda t: {strip(_unescape('t'))}), lambda t: t != '')"
+
+
+_PAGE = f"""(select page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)(</article>|<footer|$)', 1) as art, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) as ad from pages)"""
+_RAW = f"(select *, {_unescape(rr('art', '(?s)<[^>]*>'))} as art_text, {_unescape('ad')} as ad_text, len(regexp_extract_all(art, '<[a-zA-Z]')) as art_tags from {_PAGE})"
+_ART = f"array_to_string({_pieces('art')}, chr(10))"
+_AD = f"array_to_string({_pieces('ad')}, chr(10))"
+_ART_SIZE, _AD_SIZE = f"length({strip('art_text')})", f"length({strip('ad_text')})"
+_ART_SCORE = f"case when {_ART_SIZE} >= 100 then {_ART_SIZE} / 2.0::double + {_ART_SIZE} / greatest(art_tags, 1)::double else 0 end"
+_AD_SCORE = f"case when {_AD_SIZE} >= 100 then {_AD_SIZE} / 2.0::double + {_AD_SIZE} else 0 end"
+_DENSEST = f"case when {_ART_SCORE} = 0 and {_AD_SCORE} = 0 then {_AD} || case when {_AD} != '' and {_ART} != '' then chr(10) else '' end || {_ART} when {_AD_SCORE} > {_ART_SCORE} then {_AD} else {_ART} end"
+_PLAIN_TOKENS = r"regexp_extract_all(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<!--.*?-->|<[^>]*>|[^<]+')"
+_PLAIN_TEXT = f"array_to_string(list_transform({_PLAIN_TOKENS}, lambda t: case when regexp_matches(t, '^</?(p|div|h[1-6]|br|hr|li|tr|section|article|header|footer|nav|aside|main)[ >]') then chr(10) when starts_with(t, '<') then '' else {strip(_unescape('t'))} end), '')"
+_PLAIN = strip(f"array_to_string(list_transform(string_split({rr(rr(_PLAIN_TEXT, chr(10) + '{3,}', chr(10) * 2), '[ ' + chr(9) + ']+', ' ')}, chr(10)), lambda l: {strip('l')}), chr(10))")
+_ORIGIN = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_CLEAN = strip(rr(rr("t", f"http{NWS}+"), f"{WS}+", " "))
+
+
+def _batches(most_tokens: int, most_rows: int) -> str:
+    rows = f"(select 0 as bucket, doc_id as idx, len({words('text')})::bigint as length from documents)"
+    return _greedy_fold(rows, "bucket", "idx", "length", f"s.length * (w.k + 1) > {most_tokens} or w.k >= {most_rows}", "length, idx", "{n}")
+
+
 def _greedy_fold(source: str, group: str, key: str, size: str, closes: str, start: str, step: str) -> str:
     """Rows numbered within groups, then a recursive walk that carries (chunk, state)."""
     return f"""with recursive s as (select {group}, {key}, {size}, row_number() over (partition by {group} order by {start}) as rn from {source}),
@@ -257,11 +317,11 @@ def oracle_sql() -> dict[str, str]:
         "light_bundle": _scalar(spaces(fix_encoding("text"))),
         "standard_bundle": _scalar(standard("text")),
         "sentences": _scalar(sentences("text")),
-        "word_ngrams": _scalar(f"len({grams('text')})"),
+        "word_ngrams": _scalar(f"md5(array_to_string(list_sort({grams('text')}), chr(10)))"),
         "pii_redact": _scalar(redact("text")),
         "pii_flag": _scalar(" or ".join(f"regexp_matches(text, {q(p.replace(chr(92) + 'b', ''))})" for p in pii.PATTERNS.values())),
         "quality_score": _scalar(f"round({score('text')}, 9)"),
-        "codepoint_sum": _scalar("coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))), 0)::bigint"),
+        "codepoints": _scalar(listed("list_transform(list_filter(string_split(text, ''), lambda c: c != ''), lambda c: unicode(c))")),
         "text_lines": f"select * from {FULL_LINES}",
         "file_hashes": "select doc_id, md5(text) as md5, left(sha256(text), 16) as short_id, strlen(text) as size from documents",
         "pii_counts": "select doc_id, " + ", ".join(f"{count('text', p.replace(chr(92) + 'b', ''))} as {n}" for n, p in pii.PATTERNS.items()) + " from documents",
@@ -283,8 +343,8 @@ select unnest(kept) as doc_id from (select kept from w order by rn desc limit 1)
         "clean_corpus": f"with {_CLEANED} select * from y",
         "clean_corpus_stats": f"""with {_CLEANED} select (select count(*) from documents) as total_docs, (select count(*) from {FULL_LINES}) as total_lines, count(*) as kept_docs, sum(line_count) as output_lines, sum(pii_count) as pii_detected, sum(quality_filtered) as quality_filtered, sum(dedup_filtered) as dedup_filtered,
 round(sum(line_count)::double / (select count(*) from {FULL_LINES}), 9) as retention from y""",
-        "cleaned_documents_upsert": f"select original_file_path, case when id % 2 = 0 then line_count + 1000 else line_count end as line_count, run_id, true as has_id from {_STORE} where id % 3 != 0 or id % 2 = 0",
-        "incremental_skip": f"select id, original_md5 as md5 from {_STORE} where original_md5 not in (select original_md5 from {_STORE} where id % 4 = 0)",
+        "cleaned_documents_upsert": f"select original_file_path, case when id % 2 = 0 then line_count + 1000 else line_count end as line_count, run_id, true as has_id from {_STORE} union all select 'new/' || id, line_count + 1000, run_id, true from {_STORE} where id % 2 != 0",
+        "incremental_skip": f"select id, original_md5 as md5 from {_STORE} where original_md5 not in (select case when id % 4 = 0 then original_md5 else 'other' end from {_STORE})",
         "run_rollup": f"select run_id, count(*) as success_count, sum(line_count) as total_output_lines, sum(pii_count) as total_pii_detected, sum(quality_filtered) as total_quality_filtered, sum(dedup_filtered) as total_dedup_filtered from {_STORE} group by run_id",
         "run_delete": f"select run_id, count(*) as n from {_STORE} where run_id != 'src0' group by 1",
         "store_stats": f"select count(*) as total_documents, sum(original_size) as total_original_size, sum(cleaned_size) as total_cleaned_size, sum(line_count) as total_lines, sum(pii_count) as total_pii from {_STORE}",
@@ -295,10 +355,8 @@ round(sum(line_count)::double / (select count(*) from {FULL_LINES}), 9) as reten
         "csv_text": "select c_custkey, concat_ws(chr(10), " + ", ".join(f"case when trim({c}::varchar) != '' then '{c}: ' || trim({c}::varchar) end" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")) + ") as out from customer",
         "row_text": "select n_nationkey, concat_ws(chr(10), 'n_nationkey: ' || n_nationkey, 'n_name: ' || trim(n_name), 'n_regionkey: ' || n_regionkey) as out from nation",
         "row_chunks": _greedy_fold("(select substr(source, 4)::bigint as grp, doc_id, strlen(text)::bigint as size from documents)", "grp", "doc_id", "size", "w.held + s.size > 20000", "doc_id", "({held} + {n} + 1)") + " select grp, doc_id, size, chunk from w",
-        "split_paragraphs": """with recursive s as (select doc_id, p, length(p) as n, rn from (select doc_id, unnest(l) as p, unnest(range(1, len(l) + 1)) as rn from (select doc_id, string_split(text, chr(10)) as l from documents))),
-w as (select doc_id, p, n, rn, 0 as part, n + 2 as held from s where rn = 1
-union all select s.doc_id, s.p, s.n, s.rn, case when w.held + s.n > 2000 then w.part + 1 else w.part end, case when w.held + s.n > 2000 then s.n + 2 else w.held + s.n + 2 end from w join s on s.doc_id = w.doc_id and s.rn = w.rn + 1)
-select doc_id, part, length(c) as size, md5(c) as md5 from (select doc_id, part, string_agg(p, chr(10) || chr(10) order by rn) as c from w group by 1, 2)""",
+        "split_paragraphs": _paragraphs(2000, 0) + """ select doc_id, part, length(content) as size, md5(content) as md5 from z""",
+        "split_paragraphs_overlap": _paragraphs(2000, 200) + """ select doc_id, part, length(content) as size, md5(content) as md5 from z""",
         "merge_text": f"select item_id % 4 as grp, length(string_agg(text, {q(RULE)} order by item_id)) as size, md5(string_agg(text, {q(RULE)} order by item_id)) as md5 from benchmark group by 1",
         "reassembled_text": f"select doc_id, md5(string_agg(line, chr(10) order by line_no) || chr(10)) as md5 from {LINE_FIRST} group by 1",
         "export_names": "select doc_id as id, case when n = 1 then source || '.txt' else source || '_' || (n - 1) || '.txt' end as name from (select doc_id, source, row_number() over (partition by source order by doc_id) as n from documents)",
@@ -308,17 +366,84 @@ select doc_id, part, length(c) as size, md5(c) as md5 from (select doc_id, part,
 union all select conv_id, turn, 'chat', left({_CHAT}, strpos({_CHAT}, output) - 1), {_CHAT} from {_SFT}
 union all select conv_id, turn, 'simple', {_SIMPLE}, {_SIMPLE} || output from {_SFT}""",
         "chat_render": f"select conv_id, count(*) as n_turns, string_agg(case when role = 'user' then {q(USER)} else {q(ASSISTANT)} end || coalesce(text, '') || chr(10), '' order by turn) as text from conversations where role in ('user', 'assistant') group by 1",
-        "sft_labels": f"""select conv_id, turn, len(ids) as n, list_sum(ids) as id_sum, list_sum(list_transform(ids, lambda x, i: case when i <= p then -100 else x end)) as label_sum
+        "sft_labels": f"""select conv_id, turn, {listed('ids')} as ids, {listed('list_transform(ids, lambda x, i: case when i <= p then -100 else x end)')} as labels
 from (select conv_id, turn, list_transform({words(_SIMPLE + ' || output')}, lambda w: length(w))[:64] as ids, len({words(_SIMPLE)}) as p from {_SFT})""",
         "pack_windows": _pack(_TOKENS, 512),
         "pack_codepoints": _pack(f"(select doc_id, line_no, list_transform(string_split(line, ''), lambda c: unicode(c)) as tokens from {FULL_LINES.replace('from documents', 'from (select item_id as doc_id, text from benchmark)')})", 256),
-        "pad_lines": f"select doc_id, line_no, 32 as width, list_sum(tokens[:32]) + (32 - least(len(tokens), 32)) as id_sum, least(len(tokens), 32) as mask_sum from {_TOKENS}",
+        "pad_lines": f"select doc_id, line_no, {listed(filled('tokens', '32', 1))} as ids, {listed(_mask('tokens', '32'))} as mask from {_TOKENS}",
         "collate_causal": _collate("ids", 1 << 30),
         "collate_sft": _collate("labels", 48),
-        "dynamic_batches": _greedy_fold(f"(select doc_id % 16 as bucket, doc_id as idx, len({words('text')})::bigint as length from documents)", "bucket", "idx", "length", "s.length * (w.k + 1) > 4096 or w.k >= 8", "length, idx", "{n}") + " select bucket, idx, length, chunk as batch from w",
+        "dynamic_batches": _batches(4096, 8) + " select idx, length, chunk as batch from w",
+        "dynamic_batches_drop_last": _batches(2048, 32) + " select idx, length, chunk as batch from w where chunk < (select max(chunk) from w)",
         "shard_assign": 'select doc_id, (row_number() over (order by doc_id) - 1) // 64 as shard, (row_number() over (order by doc_id) - 1) % 64 as "row" from documents',
+        "page_text_auto": f"select page_id, {_DENSEST} as out from {_RAW}",
+        "page_text_novel": f"select page_id, {_DENSEST} as out from {_RAW}",
+        "page_text_wiki": f"select page_id, {_DENSEST} as out from {_RAW}",
+        "page_text_news": f"select page_id, {_ART} as out from {_RAW}",
+        "page_plain_text": f"select page_id, {_PLAIN} as out from pages",
+        "page_links": f"select distinct page_id, link from (select page_id, {_ORIGIN} || unnest(regexp_extract_all(html, '<a href=\"([^\"#]*)', 1)) as link from pages) where " + _VALID.replace("url", "link"),
+        "crawl_corpus": f"""with t as (select page_id, url, html, {_DENSEST} as t from {_RAW}), c as (select page_id, url, html, {_CLEAN} as text from t), h as (select *, sha256(text) as h from c where length(text) >= 1),
+f as (select * from h where page_id in (select min(page_id) from h group by h))
+select left(h, 16) as id, page_id, url, {_title('html')} as title, {_DOMAIN.format('url')} as domain, h as content_hash, text from f""",
+        "crawl_counts": f"""with t as (select {_DENSEST} as t from {_RAW}), c as (select {_CLEAN} as text from t)
+select count(*) as total, count(*) filter (where text = '') as empty, count(*) filter (where text != '') - count(distinct case when text != '' then text end) as duplicates, count(distinct case when text != '' then text end) as added from c""",
+        "rate_limit": """with recursive s as (select user_id, event_id, epoch(ts::timestamp) as t, row_number() over (partition by user_id order by epoch(ts::timestamp), event_id) as rn from events),
+w as (select user_id, event_id, rn, true as allowed, [floor(t)::bigint] as held from s where rn = 1
+union all select s.user_id, s.event_id, s.rn, len(list_filter(w.held, lambda x: x > s.t - 3600)) < 2,
+case when len(list_filter(w.held, lambda x: x > s.t - 3600)) < 2 and not list_contains(list_filter(w.held, lambda x: x > s.t - 3600), floor(s.t)::bigint) then list_append(list_filter(w.held, lambda x: x > s.t - 3600), floor(s.t)::bigint) else list_filter(w.held, lambda x: x > s.t - 3600) end
+from w join s on s.user_id = w.user_id and s.rn = w.rn + 1)
+select user_id, event_id, allowed from w""",
+        "url_resolve": f"select page_id, k, case k when 0 then {_ORIGIN} || '/a/b' when 1 then 'http://other.example/x?y' when 2 then split_part(url, '#', 1) when 3 then {_ORIGIN} || regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://[^/]*(/.*/)[^/]*$', 1) || 'c?d' end as out from pages, range(4) t(k)",
+        "find_by_run": f"select id, run_id from {_STORE} where run_id = 'src1'",
+        "find_by_path": f"select id, original_md5 from {_STORE} where original_file_path = 'in/7.txt'",
+        "find_by_domain": f"select page_id as id, url from pages where {_DOMAIN.format('url')} = (select min({_DOMAIN.format('url')}) from pages where page_id % 3 != 0) and page_id % 3 != 0 order by page_id limit 100",
+        "page_counts": f"select count(*) as total, count(*) filter (where page_id % 3 != 0) as crawled, count(distinct {_DOMAIN.format('url')}) as domains from pages",
+        "run_finish": f"select run_id, count(*) as success_count, sum(line_count) as total_output_lines, sum(pii_count) as total_pii_detected, sum(quality_filtered) as total_quality_filtered, sum(dedup_filtered) as total_dedup_filtered, true as finished from {_STORE} where run_id = 'src1' group by 1 union all select 'none', 0, 0, 0, 0, 0, false",
+        "processed_hashes": f"select distinct original_md5 from {_STORE}",
+        "file_dedup": f"select min('f' || lpad(doc_id::varchar, 9, '0')) as path from (select doc_id, {by_line(rr('text', chr(13) + chr(10) + '|' + chr(13), chr(10)), False)} as d from documents) where d != '' group by d",
+        "file_dedup_stats": f"with d as (select {by_line(rr('text', chr(13) + chr(10) + '|' + chr(13), chr(10)), False)} as d from documents) select count(*) as total_files, count(distinct case when d != '' then d end) as unique_files, count(*) filter (where d != '') - count(distinct case when d != '' then d end) as duplicates from d",
+        "file_dedup_raw": "select min('f' || lpad(doc_id::varchar, 9, '0')) as path from documents group by text",
+        "clean_files": f"select 'f' || doc_id as path, md5({clean_file_plain('text')}) as md5, null::varchar as error from documents",
+        "batch_summary": "select count(*) filter (where text is not null) as succeeded, count(*) filter (where text is null) as failed from documents",
+        "site_dump": f"""select site, md5(string_agg('# ' || case when t != '' then t else url end || chr(10) || chr(10) || '# URL: ' || url || chr(10) || chr(10) || x || chr(10) || chr(10) || repeat('=', 50) || chr(10), chr(10) order by page_id)) as md5
+from (select page_id, url, {_DOMAIN.format('url')} as site, {_title('html')} as t, left(html, 100) as x from pages) group by 1""",
+        "site_meta": f"select {_DOMAIN.format('url')} as site, count(*) filter (where page_id % 4 != 0) as total_pages, count(*) filter (where page_id % 4 = 0) as failed_pages from pages group by 1",
+        "corpus_manifest": """with r as (select text, (row_number() over (order by doc_id) - 1) // 100 as s from documents), m as (select s, count(*) as n, sum(length(text)) as t, sum(strlen(text)) as b from r group by 1)
+select s as "index", 'train_' || lpad(s::varchar, 5, '0') as file, n as document_count, t as tokens, b as bytes from m union all select -1, '', sum(n), sum(t), sum(b) from m""",
+        "corpus_index": "select doc_id, i as \"index\", i // 100 as shard, i // 8 as batch from (select doc_id, row_number() over (order by doc_id) - 1 as i from documents)",
+        "indexed_lines": f"select doc_id::varchar as path, unnest(range(len(l))) as line_no, unnest(list_transform(l, lambda x: {strip('x')})) as line from (select doc_id, case when l[-1] = '' then l[:-2] else l end as l from (select doc_id, string_split(text, chr(10)) as l from documents))",
+        "sample_bytes": """with l as (select source as file, doc_id, strlen(source || doc_id) + 1 as b from documents), z as (select file, sum(b) as b, count(*) as n from l group by 1), a as (select sum(b) as whole, count(*) as files from z)
+select file, case when b <= 2 * floor(b * least(3000.0::double / whole, 1.0::double) * files) then n else least(greatest(floor(n * least(3000.0::double / whole, 1.0::double) * files), 1), n) end::bigint as n from z, a""",
+        "estimated_examples": "select doc_id::varchar as name, floor(5000 * strlen(text) / (select sum(strlen(text)) from documents)::double)::bigint as num_examples from documents",
+        "next_examples": """with c as (select doc_id, doc_id // 50 as old, case when doc_id % 11 = 0 then 'new' when doc_id % 7 = 0 then 'modified' when doc_id % 5 = 0 then 'deleted' else 'unchanged' end as change from documents),
+top as (select max(old) + 1 as t from c where change != 'new'),
+f as (select doc_id, row_number() over (order by lpad(doc_id::varchar, 9, '0')) - 1 as o from c where change in ('new', 'modified'))
+select lpad(doc_id::varchar, 9, '0') as name, old as shard from c where change in ('unchanged', 'deleted') union all select lpad(doc_id::varchar, 9, '0'), t + o // 20 from f, top""",
+        "dataset_summary": """with c as (select doc_id, doc_id // 50 as old, doc_id % 5 = 0 as gone from documents) select count(*) filter (where not gone) as total_files, count(distinct old) as total_shards, max(old) + 1 as next_shard_index, count(*) as total_examples from c""",
+        "change_counts": """with a as (select doc_id, md5(text) as h, case when doc_id % 7 = 0 then 'old' else md5(text) end as o from documents) select case when h = o then 'unchanged' else 'modified' end as change, count(*) as n from a group by 1""",
+        "agents": """select c_custkey, k, case k when 0 then 'edge' when 1 then 'chrome' when 2 then 'safari' when 3 then 'firefox' when 4 then 'opera' else 'unknown' end as browser,
+case k when 0 then 'windows_10' when 1 then 'linux' when 2 then 'macos' when 3 then 'windows_8.1' when 4 then 'windows' else 'android' end as os,
+case k when 2 then '605' when 4 then '0' when 5 then '0' else (80 + c_nationkey)::varchar end as version from (select c_custkey, c_nationkey, c_custkey % 6 as k from customer)""",
+        "agent_counts": """with a as (select case c_custkey % 6 when 0 then 'edge' when 1 then 'chrome' when 2 then 'safari' when 3 then 'firefox' when 4 then 'opera' else 'unknown' end as b, case c_custkey % 6 when 0 then 'windows_10' when 1 then 'linux' when 2 then 'macos' when 3 then 'windows_8.1' when 4 then 'windows' else 'android' end as o from customer)
+select 'total' as kind, '' as name, count(*) as n from a union all select 'browser', b, count(*) from a group by b union all select 'os', o, count(*) from a group by o""",
+        "proxies": "select s_suppkey, case when s_suppkey % 2 = 0 then 'http' else 'socks5' end as type, 'h' || s_suppkey || '.example' as host, case when s_suppkey % 3 = 0 then 8080 else 1000 + s_suppkey end::int as port, case when s_suppkey % 5 = 0 then 'u' || s_suppkey end as \"user\", case when s_suppkey % 5 = 0 then 'p:w' end as password, case when s_suppkey % 2 = 0 then 'http' else 'socks5' end || '://' || case when s_suppkey % 5 = 0 then 'u' || s_suppkey || ':p:w@' else '' end || 'h' || s_suppkey || '.example:' || case when s_suppkey % 3 = 0 then 8080 else 1000 + s_suppkey end as url from supplier",
+        "proxy_health": """select user_id as proxy, count(*) filter (where ok) as successes, count(*) filter (where not ok) as failures, round(count(*) filter (where ok) / count(*)::double, 9) as success_rate, round(case when count(*) filter (where ok) > 0 then sum(value) filter (where ok) / count(*) filter (where ok) else 'inf'::double end, 6) as avg_time, count(*) filter (where ok) / count(*)::double >= 0.8::double as alive from (select user_id, value, event_type != 'error' as ok from events) group by 1""",
+        "proxy_stats": """with p as (select user_id, count(*) filter (where ok) as s, count(*) filter (where ok) / count(*)::double as r, sum(value) filter (where ok) as t from (select user_id, value, event_type != 'error' as ok from events) group by 1)
+select count(*) as total, count(*) filter (where r >= 0.8::double) as alive, count(*) filter (where r < 0.8::double) as dead, round(coalesce(avg(r) filter (where s > 0), 0), 9) as avg_success_rate, round(coalesce(avg(t / s) filter (where s > 0), 0), 6) as avg_time from p""",
+        "proxy_pick": """with p as (select user_id as proxy, count(*) filter (where not ok) as f, count(*) filter (where ok) / count(*)::double as r, sum(value) filter (where ok) / nullif(count(*) filter (where ok), 0) as t from (select user_id, value, event_type != 'error' as ok from events) group by 1)
+select 'least_used' as strategy, * from (select proxy from p where r >= 0.8::double order by f, proxy limit 3) union all select 'fastest', * from (select proxy from p where r >= 0.8::double order by t, proxy limit 3)""",
+        "round_robin": "select event_id, case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as pick from events",
+        "stream_use": "select p_partkey, round(least(1.0::double, (p_size * 200) / 4100.0::double), 9) as utilization, p_size * 200 > 4100 as streaming, least(p_size * 200, 4100)::int as \"window\", round(case when p_size % 5 = 0 then 0.0::double else (p_size % 4) / (p_size % 5)::double end, 9) as acceptance, round(case when p_size % 3 = 0 then 1.0::double else ((p_size % 4) + p_size % 3) / (p_size % 3)::double end, 9) as tokens_per_step, round(case when p_size % 7 = 0 or p_size % 11 = 0 then 1.0::double else (p_size % 11) / (p_size % 7)::double end, 9) as speedup from part",
+        "attention_memory": "select p_partkey, round(n, 9) as standard_mb, round(f, 9) as flash_mb, round(1 - f / n, 9) as reduction, greatest(p_size * 2 // 8, 1)::bigint as capacity, p_size * 4 as effective_batch from (select *, (2 * 8 * (p_size * 16) * (p_size * 16) * 2 * 12)::double / 1048576 as n, (2 * 8 * (p_size * 16) * 64 * 2 * 4 * 12)::double / 1048576 as f from part)",
+        "formatted": "select event_id, case when b < 1024 then b || ' B' when b < 1048576 then printf('%.2f KB', b / 1024.0::double) when b < 1073741824 then printf('%.2f MB', b / 1048576.0::double) else printf('%.2f GB', b / 1073741824.0::double) end as size, case when t < 60 then printf('%.0fs', t::double) when t < 3600 then printf('%.1fm', round(t / 60.0::double, 1)) else printf('%.1fh', round(t / 3600.0::double, 1)) end as duration from (select event_id, (event_id * event_id * 7919) as b, (event_id * 13) % 20000 as t from events)",
+        "trainer_perplexity": "select event_type, round(case when sum(value * (event_id % 4 + 1)) / sum(event_id % 4 + 1) < 10 then exp(sum(value * (event_id % 4 + 1)) / sum(event_id % 4 + 1)) else 'inf'::double end, 6) as perplexity from events group by 1",
+        "progress": "select user_id, event_id, n as step, n % 10 = 0 as logged, round(n / 500.0::double * 100, 6) as percent, round((500 - n) * (n * 2.0::double) / n, 6) as eta from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from events)",
+        "label_classes": "select distinct c as class from (select quality as c from labels union all select toxic + 10 from labels)",
+        "line_stream_dedup": f"select doc_id, line_no, line from (select *, count(*) over (partition by doc_id, line) as n, min(line_no) over (partition by doc_id, line) as f from {LINES}) where n < 3 or line_no = f",
+        "record_counts": "select c_mktsegment as path, count(*) as record_count from customer group by 1",
+        "file_order": "select doc_id::varchar as path, row_number() over (order by doc_id::varchar) - 1 as place from documents",
         "file_changes": """select coalesce(a.name, b.name) as name, case when b.hash is null then 'new' when a.hash is null then 'deleted' when a.hash != b.hash then 'modified' else 'unchanged' end as change
-from (select doc_id::varchar as name, md5(text) as hash from documents where doc_id % 5 != 0) a full join (select doc_id::varchar as name, case when doc_id % 7 = 0 then 'old' else md5(text) end as hash from documents where doc_id % 3 != 0) b on a.name = b.name""",
+from (select case when doc_id % 5 = 0 then 'new-' || doc_id else doc_id::varchar end as name, md5(text) as hash from documents) a full join (select case when doc_id % 3 = 0 then 'old-' || doc_id else doc_id::varchar end as name, case when doc_id % 7 = 0 then 'old' else md5(text) end as hash from documents) b on a.name = b.name""",
         "oov_chars": 'select c as "char", count(*) as n from (select unnest(string_split(text, \'\')) as c from documents) where c not in (select unnest(string_split(text, \'\')) from documents where lang = \'en\') group by 1',
         "page_title": f"select page_id, {_title('html')} as title from pages",
         "page_domain": f"select page_id, {_DOMAIN.format('url')} as domain, left(sha256(html), 32) as key from pages",
@@ -327,7 +452,7 @@ from (select doc_id::varchar as name, md5(text) as hash from documents where doc
         "daily_stats": "select strftime(ts, '%Y-%m-%d') as date, count(*) as pages_crawled, count(*) filter (where event_type = 'error') as pages_failed, round(sum(value), 4) as total_time from events group by 1",
         "recent_stats": "select strftime(ts, '%Y-%m-%d') as date, count(*) as n from events group by 1 order by 1 desc limit 7",
         "stage_timing": "select event_type, count(*) as n, round(sum(value), 4) as t, round(avg(value), 6) as mean, min(value) as least, max(value) as most, round(100 * sum(value) / (select sum(value) from events), 6) as share from events group by 1",
-        "weighted_metrics": "select event_type, round(sum(value * (event_id % 4 + 1)) / sum(event_id % 4 + 1), 6) as mean, arg_max(value, event_id) as last from events group by 1",
+        "weighted_metrics": "select event_type, round(sum(value * (event_id % 4 + 1)) / sum(event_id % 4 + 1), 6) as mean, round(arg_max(value * (event_id % 4 + 1), event_id) / sum(event_id % 4 + 1), 9) as last from events group by 1",
         "perplexity": "select event_type, round(exp(sum(value / 100 * (event_id % 4 + 1)) / sum(event_id % 4 + 1)), 6) as perplexity from events group by 1",
         "rolling_loss": "select user_id, event_id, round(avg(value) over (partition by user_id order by event_id rows between 9 preceding and current row), 6) as rolling from events",
         "early_stop": """with a as (select user_id, event_id, value, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as best, row_number() over (partition by user_id order by event_id) as nth from events),
@@ -350,12 +475,12 @@ u as (select sum(tp) / nullif(sum(tp + fp), 0)::double as pr, sum(tp) / nullif(s
 select 'micro' as average, round(pr, 9) as "precision", round(re, 9) as recall, round(2 * pr * re / (pr + re), 9) as f1 from u
 union all select 'macro', round(avg(pr), 9), round(avg(re), 9), round(avg(f), 9) from f
 union all select 'weighted', round(sum(pr * w) / sum(w), 9), round(sum(re * w) / sum(w), 9), round(sum(f * w) / sum(w), 9) from f""",
-        "topk_accuracy": f"select round(avg((label = i and r = 1)::int) * 10, 9) as accuracy, round(avg((label = i and r <= 5)::int) * 10, 9) as topk_accuracy from {_RANKED.format(_LOGITS)}",
+        "topk_accuracy": f"select round(sum((label = i and r = 1)::int)::double / count(distinct vec_id), 9) as accuracy, round(sum((label = i and r <= 5)::int)::double / count(distinct vec_id), 9) as topk_accuracy from {_RANKED.format(_LOGITS)}",
         "router_topk": f"select vec_id, string_agg(i::varchar, ',' order by r) as experts from {_RANKED.format(_LOGITS)} where r <= 2 group by 1",
-        "nucleus": f"""with b as (select vec_id, label, list_transform(embedding[1:10], lambda v: v::double * 8) as x from embeddings), s as {_SOFT.format('b')},
-r as (select vec_id, i, v, row_number() over (partition by vec_id order by v desc, i) as r from (select vec_id, unnest(p) as v, unnest(range(10)) as i from s))
+        "nucleus": f"""with b as (select vec_id, label, list_transform(embedding, lambda v: v::double * 8) as x from embeddings), s as {_SOFT.format('b')},
+r as (select vec_id, i, v, row_number() over (partition by vec_id order by v desc, i) as r from (select vec_id, unnest(p) as v, unnest(range(len(p))) as i from s))
 select vec_id, string_agg(i::varchar, ',' order by r) as kept from (select *, coalesce(sum(v) over (partition by vec_id order by r rows between unbounded preceding and 1 preceding), 0) as b from r) where b < 0.9::double group by 1""",
-        "moe_balance": f"""with s as {_SOFT.format(_LOGITS)}, e as (select i, avg(v) as p from (select unnest(p) as v, unnest(range(10)) as i from s) group by 1),
+        "moe_balance": f"""with s as {_SOFT.format(_LOGITS)}, e as (select i, avg(v) as p from (select unnest(p) as v, unnest(range(len(p))) as i from s) group by 1),
 t as (select i, avg((r <= 2)::int) as f from {_RANKED.format(_LOGITS)} group by 1)
 select round((select 0.01::double * count(*) * sum(p * f) from e join t using (i)), 9) as balance_loss, round((select 0.01::double * avg(v * v) from {_RANKED.format(_LOGITS)}), 9) as z_loss""",
         "cross_entropy": f"select vec_id, round(-ln(p[label + 1]), 9) as loss from {_SOFT.format(_LOGITS)}",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html, metrics, pii, quality, schedules, text, urls
-from corpusloom.operators import cleaning, crawl, dedup, incremental, sft, store, tokens
+from corpusloom.operators import cleaning, crawl, dedup, incremental, pools, sft, store, tokens, training
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import jobs
 
@@ -25,6 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _listed(values: Column) -> Column:
+    """A digest of a whole list, order and all."""
+    return F.md5(F.array_join(F.transform(values, lambda x: x.cast("string")), ","))
+
+
 def _scalar(name: str, f: Callable[[Column], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read(spark, sf_dir, "documents").select("doc_id", f(F.col("text")).alias("out"))
@@ -51,11 +56,11 @@ for _name, _f in {
     "light_bundle": text.light,
     "standard_bundle": text.standard,
     "sentences": lambda c: F.array_join(text.sentences(c), "\n"),
-    "word_ngrams": lambda c: F.size(text.ngrams(c)),
+    "word_ngrams": lambda c: F.md5(F.array_join(F.array_sort(text.ngrams(c)), "\n")),
     "pii_redact": pii.redact,
     "pii_flag": pii.has_pii,
     "quality_score": lambda c: F.round(quality.score(c), 9),
-    "codepoint_sum": lambda c: F.aggregate(tokens.codepoints(c), F.lit(0).cast("long"), lambda a, x: a + x),
+    "codepoints": lambda c: _listed(tokens.codepoints(c)),
 }.items():
     _scalar(_name, _f)
 
@@ -115,8 +120,7 @@ def line_dedup_threshold(spark, sf_dir):
 @query
 def line_out_numbers(spark, sf_dir):
     """Running number of the lines that dedup keeps."""
-    rows = dedup.lines(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("out_no"))
+    return training.running_number(dedup.lines(read(spark, sf_dir, "documents")).select("doc_id", "line_no"), "doc_id", "line_no")
 
 
 @query
@@ -139,15 +143,16 @@ def _store_documents(spark, sf_dir) -> DataFrame:
 @query
 def cleaned_documents_upsert(spark, sf_dir):
     docs = _store_documents(spark, sf_dir).select("id", "original_file_path", "line_count", "run_id")
-    table = docs.where("id % 3 != 0")
-    rows = docs.where("id % 2 = 0").drop("id").withColumn("line_count", F.col("line_count") + 1000)
-    return store.upsert(table, rows, "original_file_path").select("original_file_path", "line_count", "run_id", (F.col("id") > 0).alias("has_id"))
+    # every document comes again: those with even ids under their own path, the others as new files
+    path = F.when(F.col("id") % 2 == 0, F.col("original_file_path")).otherwise(F.concat(F.lit("new/"), F.col("id").cast("string")))
+    rows = docs.withColumn("original_file_path", path).drop("id").withColumn("line_count", F.col("line_count") + 1000)
+    return store.upsert(docs, rows, "original_file_path").select("original_file_path", "line_count", "run_id", F.col("id").isNotNull().alias("has_id"))
 
 
 @query
 def incremental_skip(spark, sf_dir):
     docs = _store_documents(spark, sf_dir)
-    return store.unprocessed(docs.select("id", F.col("original_md5").alias("md5")), docs.where("id % 4 = 0").select("original_md5"))
+    return store.unprocessed(docs.select("id", F.col("original_md5").alias("md5")), docs.select(F.when(F.col("id") % 4 == 0, F.col("original_md5")).otherwise("other").alias("original_md5")))
 
 
 @query
@@ -158,7 +163,7 @@ def run_rollup(spark, sf_dir):
 @query
 def run_delete(spark, sf_dir):
     """What is left after the cascade of one run."""
-    return _store_documents(spark, sf_dir).where("run_id != 'src0'").groupBy("run_id").agg(F.count("*").alias("n"))
+    return store.without_run(_store_documents(spark, sf_dir), "src0").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
 @query
@@ -174,8 +179,48 @@ def content_search(spark, sf_dir):
 @query
 def lookup_by_hash(spark, sf_dir):
     docs = _store_documents(spark, sf_dir)
-    wanted = docs.where("id = 11").select("original_md5")
-    return docs.join(wanted, "original_md5", "left_semi").select("id", "original_md5")
+    return store.lookup(docs, docs.where("id = 11").select("original_md5"), "original_md5").select("id", "original_md5")
+
+
+@query
+def find_by_run(spark, sf_dir):
+    return store.find(_store_documents(spark, sf_dir), run_id="src1").select("id", "run_id")
+
+
+@query
+def find_by_path(spark, sf_dir):
+    return store.find(_store_documents(spark, sf_dir), original_file_path="in/7.txt").select("id", "original_md5")
+
+
+@query
+def processed_hashes(spark, sf_dir):
+    return store.processed_hashes(_store_documents(spark, sf_dir))
+
+
+def _store_pages(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", urls.domain(F.col("url")).alias("domain"), F.when(F.col("page_id") % 3 != 0, 1).otherwise(0).alias("is_crawled"))
+
+
+@query
+def find_by_domain(spark, sf_dir):
+    pages = _store_pages(spark, sf_dir)
+    first = pages.where("is_crawled = 1").agg(F.min("domain")).first()[0]
+    return store.find_by_domain(pages, first).select("id", "url")
+
+
+@query
+def page_counts(spark, sf_dir):
+    return store.page_counts(_store_pages(spark, sf_dir))
+
+
+@query
+def run_finish(spark, sf_dir):
+    """Two runs, one with documents and one without, the first of them finished."""
+    runs = spark.createDataFrame([(1, "src1"), (2, "none")], "id long, run_id string")
+    counters = ["success_count", "total_output_lines", "total_pii_detected", "total_quality_filtered", "total_dedup_filtered"]
+    runs = runs.select("id", "run_id", *(F.lit(0).cast("long").alias(c) for c in counters), F.lit(None).cast("timestamp").alias("finished_at"))
+    done = store.finish(runs, _store_documents(spark, sf_dir), "src1", F.lit("2024-01-01").cast("timestamp"))
+    return done.select("run_id", *counters, F.col("finished_at").isNotNull().alias("finished"))
 
 
 @query
@@ -214,6 +259,13 @@ def split_paragraphs(spark, sf_dir):
     return tokens.split_paragraphs(docs, 2000, 0).select("doc_id", "part", F.length("content").alias("size"), F.md5("content").alias("md5"))
 
 
+@query
+def split_paragraphs_overlap(spark, sf_dir):
+    """The last 200 characters of a part stand at the start of the next."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return tokens.split_paragraphs(docs, 2000, 200).select("doc_id", "part", F.length("content").alias("size"), F.md5("content").alias("md5"))
+
+
 @query
 def merge_text(spark, sf_dir):
     merged = writers.merged(read(spark, sf_dir, "benchmark"), F.col("item_id") % 4, "item_id")
@@ -269,7 +321,7 @@ def sft_labels(spark, sf_dir):
     asked, full = sft.prompt("simple")
     rows = sft.qa_to_sft(_qa(spark, sf_dir)).select("conv_id", "turn", text.words(asked).alias("p"), text.words(full).alias("f"))
     ids, masked = sft.labels(F.transform("f", lambda w: F.length(w)), F.col("p"), 64)
-    return rows.select("conv_id", "turn", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0), lambda a, x: a + x).alias("id_sum"), F.aggregate(masked, F.lit(0), lambda a, x: a + x).alias("label_sum"))
+    return rows.select("conv_id", "turn", _listed(ids).alias("ids"), _listed(masked).alias("labels"))
 
 
 def _length_ids(docs: DataFrame) -> DataFrame:
@@ -292,7 +344,7 @@ def pack_codepoints(spark, sf_dir):
 @query
 def pad_lines(spark, sf_dir):
     out = tokens.pad_lines(_length_ids(read(spark, sf_dir, "documents")), 32, F.lit(tokens.PAD))
-    return out.select("doc_id", "line_no", F.size("ids").alias("width"), F.aggregate("ids", F.lit(0), lambda a, x: a + x).alias("id_sum"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+    return out.select("doc_id", "line_no", _listed(F.col("ids")).alias("ids"), _listed(F.col("mask")).alias("mask"))
 
 
 def _batched(spark, sf_dir) -> DataFrame:
@@ -301,8 +353,7 @@ def _batched(spark, sf_dir) -> DataFrame:
 
 
 def _digest(rows: DataFrame) -> DataFrame:
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-    return rows.select("doc_id", "line_no", "width", total("out_ids").alias("id_sum"), total("out_labels").alias("label_sum"), total("mask").alias("mask_sum"))
+    return rows.select("doc_id", "line_no", "width", _listed(F.col("out_ids")).alias("ids"), _listed(F.col("out_labels")).alias("labels"), _listed(F.col("mask")).alias("mask"))
 
 
 @query
@@ -317,10 +368,16 @@ def collate_sft(spark, sf_dir):
 
 @query
 def dynamic_batches(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("bucket"), F.col("doc_id").alias("idx"), F.size(text.words(F.col("text"))).cast("long").alias("length"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.size(text.words(F.col("text"))).cast("long").alias("length"))
     return tokens.dynamic_batches(rows, 4096, 8)
 
 
+@query
+def dynamic_batches_drop_last(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.size(text.words(F.col("text"))).cast("long").alias("length"))
+    return tokens.dynamic_batches(rows, 2048, 32, drop_last=True)
+
+
 @query
 def shard_assign(spark, sf_dir):
     return tokens.shards(read(spark, sf_dir, "documents").select("doc_id"), 64, "doc_id")
@@ -329,8 +386,9 @@ def shard_assign(spark, sf_dir):
 @query
 def file_changes(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    now = docs.where("doc_id % 5 != 0").select(F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("hash"))
-    then = docs.where("doc_id % 3 != 0").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.md5("text")).alias("hash"))
+    named = lambda of, k: F.concat(F.when(F.col("doc_id") % k == 0, of).otherwise(""), F.col("doc_id").cast("string")).alias("name")
+    now = docs.select(named("new-", 5), F.md5("text").alias("hash"))
+    then = docs.select(named("old-", 3), F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.md5("text")).alias("hash"))
     return incremental.file_changes(now, then)
 
 
@@ -408,16 +466,14 @@ def rate_limit(spark, sf_dir):
 
 @query
 def stage_timing(spark, sf_dir):
-    rows = read(spark, sf_dir, "events")
-    total = rows.agg(F.sum("value").alias("all"))
-    out = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("t"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return out.crossJoin(total).select("event_type", "n", F.round("t", 4).alias("t"), F.round("mean", 6).alias("mean"), "least", "most", F.round(100 * F.col("t") / F.col("all"), 6).alias("share"))  # one row
+    out = training.stage_timing(read(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("event_type", "n", F.round("t", 4).alias("t"), F.round("mean", 6).alias("mean"), "least", "most", F.round("share", 6).alias("share"))
 
 
 @query
 def weighted_metrics(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("w", F.pmod("event_id", F.lit(4)) + 1)
-    return rows.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 6).alias("mean"), F.max_by("value", "event_id").alias("last"))
+    return training.weighted_means(rows, "event_type", "value", "w", "event_id").select("event_type", F.round("mean", 6).alias("mean"), F.round("last", 9).alias("last"))
 
 
 @query
@@ -433,25 +489,26 @@ def _steps(spark, sf_dir) -> DataFrame:
 
 @query
 def rolling_loss(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-9, 0)
-    return _steps(spark, sf_dir).select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("rolling"))
+    return training.progress(_steps(spark, sf_dir), "user_id", "event_id", "value", 10).select("user_id", "event_id", F.round("rolling", 6).alias("rolling"))
+
+
+@query
+def progress(spark, sf_dir):
+    rows = _steps(spark, sf_dir)
+    rows = rows.withColumn("seconds", 2.0 * F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    out = training.progress(rows, "user_id", "event_id", "value", 10, 500, "seconds")
+    return out.select("user_id", "event_id", "step", "logged", F.round("percent", 6).alias("percent"), F.round("eta", 6).alias("eta"))
 
 
 @query
 def early_stop(spark, sf_dir):
     """Evaluations since the last strict improvement, and whether patience of 5 is out."""
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _steps(spark, sf_dir).withColumn("best", F.min("value").over(before)).withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    better = F.col("best").isNull() | (F.col("value") < F.col("best"))
-    rows = rows.withColumn("at", F.max(F.when(better, F.col("nth"))).over(upto))
-    return rows.select("user_id", "event_id", (F.col("nth") - F.col("at")).alias("waited"), (F.col("nth") - F.col("at") >= 5).alias("stop"))
+    return training.early_stop(_steps(spark, sf_dir), "user_id", "event_id", "value", 5).select("user_id", "event_id", "waited", "stop")
 
 
 @query
 def checkpoint_keep(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return _steps(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n <= 3").select("user_id", "event_id")
+    return training.newest(_steps(spark, sf_dir), "user_id", "event_id", 3).select("user_id", "event_id")
 
 
 @query
@@ -468,7 +525,7 @@ def f1_scores(spark, sf_dir):
 
 
 def _logits(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 10).alias("x"), "label")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
 @query
@@ -518,5 +575,233 @@ def ring_slots(spark, sf_dir):
     return spark.range(0, 20_000).select(F.col("id").alias("position"), schedules.ring_slot(F.col("id"), 4, 4096).alias("slot"))
 
 
+@query
+def crawl_counts(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(text.page_clean(html.page_text_column(F.col("html"))).alias("text"))
+    return crawl.corpus_counts(pages)
+
+
+@query
+def url_resolve(spark, sf_dir):
+    """An absolute path, another site, a fragment and a relative path against each page."""
+    links = [(0, "/a/b"), (1, "http://other.example/x?y#z"), (2, "#top"), (3, "c?d")]
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(u).alias("u")) for k, u in links))).alias("x"))
+    return rows.select("page_id", "x.k", urls.resolve(F.col("x.u"), F.col("url")).alias("out"))
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """Documents as text files."""
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("text").alias("content"))
+
+
+@query
+def file_dedup(spark, sf_dir):
+    return dedup.files(_files(spark, sf_dir)).select("path")
+
+
+@query
+def file_dedup_raw(spark, sf_dir):
+    return dedup.files(_files(spark, sf_dir), raw=True).select("path")
+
+
+@query
+def file_dedup_stats(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return dedup.file_stats(files, dedup.files(files))
+
+
+@query
+def clean_files(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.lit("").alias("name"), F.col("text").alias("content"))
+    return cleaning.clean_files(files).select("path", F.md5("content").alias("md5"), "error")
+
+
+@query
+def batch_summary(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("name"), F.col("text").alias("content"))
+    return cleaning.batch_summary(cleaning.clean_files(files))
+
+
+@query
+def site_dump(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.domain(F.col("url")).alias("site"), urls.title(F.col("html")).alias("title"), F.substring("html", 1, 100).alias("text"))
+    return writers.site_dump(pages).select("site", F.md5("content").alias("md5"))
+
+
+@query
+def site_meta(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", urls.domain(F.col("url")).alias("site"))
+    return writers.site_meta(pages.where("page_id % 4 != 0"), pages.where("page_id % 4 = 0"))
+
+
+def _sharded(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query
+def corpus_manifest(spark, sf_dir):
+    return writers.manifest(writers.corpus_shards(_sharded(spark, sf_dir), 100, "doc_id"))
+
+
+@query
+def corpus_index(spark, sf_dir):
+    return readers.batches(readers.indexed(_sharded(spark, sf_dir).select("doc_id"), "doc_id", 100), 8).select("doc_id", "index", "shard", "batch")
+
+
+@query
+def indexed_lines(spark, sf_dir):
+    return readers.indexed_lines(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+
+
+@query
+def file_order(spark, sf_dir):
+    return readers.paths(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path")))
+
+
+@query
+def record_counts(spark, sf_dir):
+    return readers.record_counts(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("path"), F.col("c_name").alias("text")))
+
+
+@query
+def line_stream_dedup(spark, sf_dir):
+    """The streaming chain's form: lines neither stripped nor left out."""
+    return dedup.lines_over_threshold(text.lines(read(spark, sf_dir, "documents"), keep_blank=True), 3)
+
+
+@query
+def sample_bytes(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("line_no"), F.concat("source", F.col("doc_id").cast("string")).alias("line"))
+    return incremental.sample_bytes(lines, 3000).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query
+def estimated_examples(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.octet_length("text").alias("size"))
+    return incremental.estimated_examples(files, 5000)
+
+
+def _change_case(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One example a document: examples of the last run, changes, and examples made anew."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.lit(0).alias("row"), F.md5("text").alias("payload"))
+    kind = F.when(F.col("doc_id") % 11 == 0, "new").when(F.col("doc_id") % 7 == 0, "modified").when(F.col("doc_id") % 5 == 0, "deleted").otherwise("unchanged")
+    docs = docs.withColumn("change", kind)
+    old = docs.where("change != 'new'").select("name", "row", "payload", F.floor(F.col("doc_id") / 50).alias("shard"))
+    return old, docs.select("name", "change"), docs.where("change != 'deleted'").select("name", "row", "payload")
+
+
+@query
+def next_examples(spark, sf_dir):
+    old, changes, fresh = _change_case(spark, sf_dir)
+    return incremental.next_examples(old, changes, fresh, 20).select("name", "shard")
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    manifest = docs.select(F.when(F.col("doc_id") % 5 == 0, "orphaned").otherwise("active").alias("status"))
+    return incremental.dataset_summary(docs.select(F.floor(F.col("doc_id") / 50).alias("shard")), manifest)
+
+
+@query
+def change_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.md5("text").alias("hash"), "doc_id")
+    then = docs.select("name", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("hash")).alias("hash"))
+    return incremental.change_counts(incremental.file_changes(docs, then))
+
+
+def _agents(spark, sf_dir) -> DataFrame:
+    """User agents of six kinds, with a customer's nation as version."""
+    k, v = F.col("c_custkey") % 6, (F.col("c_nationkey") + 80).cast("string")
+    kinds = ["Mozilla/5.0 (Windows NT 10.0; Win64) Chrome/{0}.0 Safari/537.36 Edg/{0}.0", "Mozilla/5.0 (X11; Linux x86_64) Chrome/{0}.0 Safari/537.36", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15) Safari/605.1", "Mozilla/5.0 (Windows NT 6.3) Firefox/{0}.0", "Opera/9 (Windows CE) Opera/{0}", "Dalvik (Linux; Android 13)"]
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(kinds):
+        out = F.when(k == i, F.replace(F.lit(form), F.lit("{0}"), v)).otherwise(out)
+    return read(spark, sf_dir, "customer").select("c_custkey", k.alias("k"), out.alias("agent"))
+
+
+@query
+def agents(spark, sf_dir):
+    return pools.agents(_agents(spark, sf_dir)).drop("agent")
+
+
+@query
+def agent_counts(spark, sf_dir):
+    return pools.agent_counts(pools.agents(_agents(spark, sf_dir)))
+
+
+@query
+def proxies(spark, sf_dir):
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    kind = F.when(k % 2 == 0, "http").otherwise("socks5")
+    url = F.concat(kind, F.lit("://"), F.when(k % 5 == 0, F.concat(F.lit("u"), key, F.lit(":p:w@"))).otherwise(""), F.lit("H"), key, F.lit(".Example"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(":"), (k + 1000).cast("string"))))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", url.alias("url"))
+    rows = rows.select("s_suppkey", *(c.alias(n) for n, c in pools.proxy_parts(F.col("url")).items()))
+    return rows.withColumn("url", pools.proxy_url(*(F.col(c) for c in ("type", "host", "port", "user", "password"))))
+
+
+def _health(spark, sf_dir) -> DataFrame:
+    """Users as proxies, their errors as failures."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("proxy"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("seconds"))
+    return pools.health(rows, 0.8)
+
+
+@query
+def proxy_health(spark, sf_dir):
+    return _health(spark, sf_dir).select("proxy", "successes", "failures", F.round("success_rate", 9).alias("success_rate"), F.round("avg_time", 6).alias("avg_time"), "alive")
+
+
+@query
+def proxy_stats(spark, sf_dir):
+    found = pools.pool_stats(_health(spark, sf_dir))
+    return found.select("total", "alive", "dead", F.round("avg_success_rate", 9).alias("avg_success_rate"), F.round("avg_time", 6).alias("avg_time"))
+
+
+@query
+def proxy_pick(spark, sf_dir):
+    found = _health(spark, sf_dir)
+    each = [pools.pick(found, s, 3).select(F.lit(s).alias("strategy"), "proxy") for s in ("least_used", "fastest")]
+    return each[0].unionAll(each[1])
+
+
+@query
+def round_robin(spark, sf_dir):
+    return pools.round_robin(read(spark, sf_dir, "events").select("event_id"), ["a", "b", "c"], "event_id")
+
+
+@query
+def stream_use(spark, sf_dir):
+    p = F.col("p_size")
+    use = schedules.streaming_use(p * 200, F.lit(4100))
+    ran = schedules.speculation(p % 5, p % 4, p % 3, (p % 7).cast("double"), (p % 11).cast("double"))
+    exact = lambda c: F.round(c, 9)
+    # only as many are accepted as were drafted: the ratio is taken as it is
+    return read(spark, sf_dir, "part").select("p_partkey", exact(use["utilization"]).alias("utilization"), use["streaming"].alias("streaming"), use["window"].cast("int").alias("window"), *(exact(c).alias(n) for n, c in ran.items()))
+
+
+@query
+def attention_memory(spark, sf_dir):
+    p = F.col("p_size")
+    found = schedules.attention_memory(F.lit(2), F.lit(8), p * 16, F.lit(64), F.lit(12))
+    return read(spark, sf_dir, "part").select("p_partkey", *(F.round(c, 9).alias(n) for n, c in found.items()), schedules.expert_capacity(p, F.lit(8), 2, 1.0).cast("long").alias("capacity"), schedules.effective_batch(p, F.lit(4)).alias("effective_batch"))
+
+
+@query
+def formatted(spark, sf_dir):
+    e = F.col("event_id")
+    return read(spark, sf_dir, "events").select("event_id", schedules.format_bytes(e * e * 7919).alias("size"), schedules.format_seconds((e * 13) % 20000).alias("duration"))
+
+
+@query
+def trainer_perplexity(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("w", F.pmod("event_id", F.lit(4)) + 1)
+    return rows.groupBy("event_type").agg(F.round(metrics.evaluation_perplexity(F.col("value"), F.col("w")), 6).alias("perplexity"))
+
+
+@query
+def label_classes(spark, sf_dir):
+    return metrics.classes(read(spark, sf_dir, "labels"), F.col("quality"), F.col("toxic") + 10)
+
+
 def queries() -> dict[str, Query]:
     return dict(_FOUND)

@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def free_name(name: str, *rows: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of ``rows`` has (in any case of letters)."""
+    taken = {c.lower() for r in rows for c in r.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession

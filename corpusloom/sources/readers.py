@@ -11,17 +11,39 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.html import plain_text
 from corpusloom.functions.text import iterated_lines, strip
+from corpusloom.operators import tokens
 
 
 def text_files(spark: SparkSession, folder: str, recursive: bool = False, any_case: bool = True) -> DataFrame:
-    """(path, name, content, md5, size) of the .txt files of a folder; order by path where order matters."""
+    """(path, name, content, md5, size) of the .txt files of a folder; bytes that are no UTF-8 are left out. Order by path where order matters."""
     glob = "*.[tT][xX][tT]" if any_case else "*.txt"
-    return binary_files(spark, folder, glob, recursive).select("path", "name", F.decode("content", "UTF-8").alias("content"), "md5", "size")
+    return binary_files(spark, folder, glob, recursive).select("path", "name", decoded(F.col("content")).alias("content"), "md5", "size")
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text, without bytes that are none; only such files leave the JVM."""
+
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(plain_document, na_action="ignore")
+
+    good = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(F.when(good, content.cast("string")), F.pandas_udf(run, "string")(F.when(~good, content)))
+
+
+def paths(files: DataFrame) -> DataFrame:
+    """(place, path): files in order of their paths, numbered from 0."""
+    return files.select("path").withColumn("place", F.row_number().over(Window.orderBy("path")) - 1)  # a folder's listing, which the driver has
+
+
+def decode_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, line_no, line) of the lines of files that are not blank, bytes that are no UTF-8 left out."""
+    files = binary_files(spark, folder, glob).select("path", decoded(F.col("content")).alias("content"))
+    return file_lines(files)
 
 
 def binary_files(spark: SparkSession, folder: str, glob: str, recursive: bool = False) -> DataFrame:
@@ -51,6 +73,11 @@ def csv_text(spark: SparkSession, path: str) -> DataFrame:
     return named.select(F.input_file_name().alias("path"), labelled_fields(named.columns, label_single=True).alias("text")).where("text != ''")
 
 
+def record_counts(records: DataFrame) -> DataFrame:
+    """(path, record_count): records that are not blank, of each file."""
+    return records.groupBy("path").agg(F.count("*").alias("record_count"))
+
+
 def parquet_text(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     return rows.select(F.input_file_name().alias("path"), labelled_fields(rows.columns).alias("text")).where("text != ''")
@@ -102,11 +129,18 @@ def epub_document(content: bytes) -> str:
 
 
 def pdf_document(content: bytes) -> str:
-    """Text of the pages under numbered headings; needs pdfplumber."""
+    """Title, author, subject and creator where given, then the pages under numbered headings; needs pdfplumber."""
     import pdfplumber
 
     with pdfplumber.open(io.BytesIO(content)) as pdf:
-        return "\n\n".join(f"--- 第 {i} 页 ---\n{text.strip()}" for i, p in enumerate(pdf.pages, 1) if (text := p.extract_text() or "").strip())
+        head = [x for k in ("Title", "Author", "Subject", "Creator") if (x := str((pdf.metadata or {}).get(k) or "").strip())]
+        return "\n\n".join([*head, *(f"--- 第 {i} 页 ---\n{text}" for i, p in enumerate(pdf.pages, 1) if (text := page_lines(p.extract_text() or "")).strip())])
+
+
+def page_lines(text: str) -> str:
+    """A page's text with single blanks, stripped lines and at most one blank line."""
+    text = re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text))
+    return "\n".join(x.strip() for x in text.split("\n"))
 
 
 def plain_document(content: bytes) -> str:
@@ -121,18 +155,30 @@ def html_document(content: bytes) -> str:
 EXTRACTORS = {".epub": epub_document, ".pdf": pdf_document, ".json": lambda b: json_document(b.decode("utf-8-sig")), ".txt": plain_document, ".html": html_document, ".htm": html_document}
 
 
-def documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, name, text, error) of all files of a known format; a file that cannot be read has its error instead of a text."""
+def extractor(name: str):
+    """The function for a file name; raises ValueError for an unknown ending."""
+    ending = posixpath.splitext(name)[1].lower()
+    if ending not in EXTRACTORS:
+        raise ValueError(f"unknown format {ending or name}, known are {', '.join(EXTRACTORS)}")
+    return EXTRACTORS[ending]
+
+
+def documents(spark: SparkSession, folder: str, recursive: bool = True, unknown: str = "skip") -> DataFrame:
+    """(path, name, text, error) of all files; a file that cannot be read has its error instead of a text.
+
+    Files of unknown formats are left out, or with ``unknown="error"`` listed with a ValueError.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    known = files.where(ending.isin(*EXTRACTORS)).select("path", "content", ending.alias("ending"))
+    files = files.where(ending.isin(*EXTRACTORS)) if unknown == "skip" else files
+    known = files.select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for path, content, end in zip(part["path"], part["content"], part["ending"], strict=True):
+            for path, content in zip(part["path"], part["content"], strict=True):
                 try:
-                    out.append((path, path.rpartition("/")[2], EXTRACTORS[end](content), None))
+                    out.append((path, path.rpartition("/")[2], extractor(path)(content), None))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job; its error is the result
                     out.append((path, path.rpartition("/")[2], None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(out, columns=["path", "name", "text", "error"])
@@ -158,7 +204,51 @@ def shards(spark: SparkSession, folder: str, split: str = "train", expect: dict[
     """Rows of the shards of a split; raises if the metadata of the folder differ from ``expect``."""
     if expect:
         meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/metadata").collect()}  # a few settings
-        wrong = {k: meta.get(k) for k, v in expect.items() if meta.get(k) != v}
+        wrong = {k: meta[k] for k, v in expect.items() if k in meta and meta[k] != v}  # settings that were not kept are not compared
         if wrong:
             raise ValueError(f"shards were made with other settings: {wrong}")
     return spark.read.parquet(f"{folder}/data").where(F.col("split") == split)
+
+
+def shard_sizes(spark: SparkSession, folder: str, split: str = "train") -> DataFrame:
+    """(shard, num_examples) in order of shards, by the files' own row counts; raises if there is none."""
+    sizes = spark.read.parquet(f"{folder}/data").where(F.col("split") == split).groupBy("shard").agg(F.count("*").alias("num_examples"))
+    if sizes.isEmpty():
+        raise ValueError(f"no shards of {split} in {folder}")
+    return sizes.orderBy("shard")
+
+
+def indexed(rows: DataFrame, order: str = "row", size: int = 10_000) -> DataFrame:
+    """Adds index (from 0 in ``order``), shard (index // size) and row (index % size): any row is found by its index."""
+    numbered = tokens.shards(rows.withColumnRenamed("row", "row_") if "row" in rows.columns and order != "row" else rows, size, order)
+    return numbered.withColumn("index", F.col("shard") * size + F.col("row"))
+
+
+def batches(rows: DataFrame, size: int, index: str = "index") -> DataFrame:
+    """Adds batch: consecutive rows by index, ``size`` to a batch."""
+    return rows.withColumn("batch", F.floor(F.col(index) / size))
+
+
+def indexed_lines(files: DataFrame, keep_unterminated: bool = True) -> DataFrame:
+    """(path, line_no from 0, line stripped) of all lines, blank ones too, so that (path, line_no) finds a line.
+
+    ``keep_unterminated=False`` leaves out a last line without a line feed.
+    """
+    parts = F.split("content", "\n", -1)
+    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts) if keep_unterminated else F.slice(parts, 1, F.size(parts) - 1)
+    return files.select("path", F.posexplode(kept).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
+
+
+def settings(path: str, defaults: dict | None = None) -> dict:
+    """A configuration file (.json, or .yaml and .yml where PyYAML is there) over ``defaults``, section by section; read on the driver."""
+    with open(path, encoding="utf-8") as file:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            found = yaml.safe_load(file) or {}
+        else:
+            found = json.load(file)
+    out = dict(defaults or {})
+    for key, value in found.items():
+        out[key] = {**out[key], **value} if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import tokens
+
 #: Fixed value: what stands between merged texts.
 RULE = "\n\n" + "=" * 50 + "\n\n"
 
@@ -48,3 +50,43 @@ def day_files(pages: DataFrame, text: str = "text", at: str = "crawled_at", orde
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_day").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = pages.withColumn("_day", F.date_format(at, "yyyyMMdd")).withColumn("_size", size)
     return rows.withColumn("file", F.format_string("%s-%03d.txt", F.col("_day"), (F.floor(before / limit) + 1).cast("int"))).drop("_day", "_size")
+
+
+def convert(documents: DataFrame, folder: str) -> DataFrame:
+    """Writes the texts of (path, name, text, error) as name.txt and gives (path, output, error) in order of paths: what was written where, and what failed."""
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    rows = documents.select("path", F.concat(stem, F.lit(".txt")).alias("name"), "text", "error")
+    good = rows.where("text is not null")
+    write_texts(good.select("name", F.col("text").alias("content")), folder)
+    output = F.when(F.col("text").isNotNull(), F.concat(F.lit(f"{folder.rstrip('/')}/name="), F.col("name")))
+    return rows.select("path", output.alias("output"), "error").orderBy("path")
+
+
+def site_dump(pages: DataFrame, site: str = "site", order: str = "page_id") -> DataFrame:
+    """(site, content): a site's pages in order, each with its title (or URL) and URL above and a ruled line below."""
+    head = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
+    page = F.concat(F.lit("# "), head, F.lit("\n\n# URL: "), F.col("url"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n" + "=" * 50 + "\n"))
+    rows = pages.groupBy(site).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), page.alias("page")))).alias("l"))
+    return rows.select(site, F.array_join(F.transform("l", lambda x: x["page"]), "\n").alias("content"))
+
+
+def site_meta(pages: DataFrame, failed: DataFrame, site: str = "site") -> DataFrame:
+    """(site, total_pages, failed_pages) of pages and failed URLs."""
+    a = pages.groupBy(site).agg(F.count("*").alias("total_pages"))
+    b = failed.groupBy(site).agg(F.count("*").alias("failed_pages"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return a.join(b, site, "full_outer").select(site, zero("total_pages"), zero("failed_pages"))
+
+
+def corpus_shards(docs: DataFrame, size: int = 10_000, order: str = "id", text: str = "text") -> DataFrame:
+    """Adds shard, row and input_ids (code points, where no tokenizer has made ids)."""
+    rows = tokens.shards(docs, size, order)
+    return rows if "input_ids" in rows.columns else rows.withColumn("input_ids", tokens.codepoints(F.col(text)))
+
+
+def manifest(sharded: DataFrame, text: str = "text", ids: str = "input_ids") -> DataFrame:
+    """(index, file, document_count, tokens, bytes) of each shard, and a row with index -1 for the whole; one scan."""
+    found = sharded.groupBy("shard").agg(F.count("*").alias("document_count"), F.sum(F.size(ids)).alias("tokens"), F.sum(F.octet_length(text)).alias("bytes"))
+    each = found.select(F.col("shard").cast("long").alias("index"), F.format_string("train_%05d", F.col("shard").cast("long")).alias("file"), "document_count", "tokens", "bytes")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return each.unionByName(each.agg(F.lit(-1).cast("long").alias("index"), F.lit("").alias("file"), *map(zero, ("document_count", "tokens", "bytes"))))
