@@ -176,7 +176,7 @@ def processed_hashes(documents: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows replace those with the same key and keep their id; new ones get the next ids in order of the key."""
+    """Rows replace those with the same key and keep their id; new ones get the next free ids, in no order that means anything."""
     have = [c for c in table.columns if c != "id"]
     new = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in have)).dropDuplicates([key])
     kept = table.join(new.select(key), key, "left_anti").select(*table.columns)
@@ -188,7 +188,7 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """``_nth`` from 1 by key, without gathering the rows: numbers within hash classes, and the classes' totals."""
+    """``_nth`` from 1, by hash class and key, without gathering the rows: numbers within hash classes, and the classes' totals."""
     classed = rows.withColumn("_class", F.pmod(F.xxhash64(key), F.lit(parts)))
     before = classed.groupBy("_class").count().withColumn("_before", F.sum("count").over(Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)))
     within = classed.withColumn("_in", F.row_number().over(Window.partitionBy("_class").orderBy(key)))

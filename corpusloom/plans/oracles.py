@@ -393,6 +393,7 @@ union all select s.user_id, s.event_id, s.rn, len(list_filter(w.held, lambda x:
 case when len(list_filter(w.held, lambda x: x > s.t - 3600)) < 2 and not list_contains(list_filter(w.held, lambda x: x > s.t - 3600), floor(s.t)::bigint) then list_append(list_filter(w.held, lambda x: x > s.t - 3600), floor(s.t)::bigint) else list_filter(w.held, lambda x: x > s.t - 3600) end
 from w join s on s.user_id = w.user_id and s.rn = w.rn + 1)
 select user_id, event_id, allowed from w""",
+        "seen_marks": "select user_id, event_id, coalesce(epoch(ts::timestamp) - lag(epoch(ts::timestamp)) over (partition by user_id order by ts, event_id) >= 3600, true) as fresh from events",
         "url_resolve": f"select page_id, k, case k when 0 then {_ORIGIN} || '/a/b' when 1 then 'http://other.example/x?y' when 2 then split_part(url, '#', 1) when 3 then {_ORIGIN} || regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://[^/]*(/.*/)[^/]*$', 1) || 'c?d' end as out from pages, range(4) t(k)",
         "find_by_run": f"select id, run_id from {_STORE} where run_id = 'src1'",
         "find_by_path": f"select id, original_md5 from {_STORE} where original_file_path = 'in/7.txt'",

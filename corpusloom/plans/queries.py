@@ -464,6 +464,12 @@ def rate_limit(spark, sf_dir):
     return jobs.rate_limit(read(spark, sf_dir, "events"), 3600.0, 2)
 
 
+@query
+def seen_marks(spark, sf_dir):
+    """Users as keys that are marked by their events; each mark renews them for an hour."""
+    return jobs.marks(read(spark, sf_dir, "events"), 3600.0, "user_id", "ts", "event_id").select("user_id", "event_id", "fresh")
+
+
 @query
 def stage_timing(spark, sf_dir):
     out = training.stage_timing(read(spark, sf_dir, "events"), "event_type", "value")

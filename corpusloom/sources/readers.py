@@ -20,7 +20,7 @@ from corpusloom.operators import tokens
 
 
 def text_files(spark: SparkSession, folder: str, recursive: bool = False, any_case: bool = True) -> DataFrame:
-    """(path, name, content, md5, size) of the .txt files of a folder; bytes that are no UTF-8 are left out. Order by path where order matters."""
+    """(path, name, content, md5, size) of the .txt files of a folder; bytes that are no UTF-8 are left out, as are empty files (Spark lists none). Order by path where order matters."""
     glob = "*.[tT][xX][tT]" if any_case else "*.txt"
     return binary_files(spark, folder, glob, recursive).select("path", "name", decoded(F.col("content")).alias("content"), "md5", "size")
 

@@ -172,7 +172,7 @@ def test_pack_windows(spark, n, length):
 
 
 def test_batches_and_chunks(spark):
-    rows = spark.createDataFrame([(0, i, n) for i, n in enumerate([50, 10, 30, 20, 40])], "bucket long, idx long, length long")
+    rows = spark.createDataFrame(list(enumerate([50, 10, 30, 20, 40])), "idx long, length long")
     got = {r.idx: r.batch for r in tokens.dynamic_batches(rows, 100, 32).collect()}
     assert got == {1: 0, 3: 0, 2: 0, 4: 1, 0: 1}
     assert {r.idx for r in tokens.dynamic_batches(rows, 100, 32, drop_last=True).collect()} == {1, 2, 3}
