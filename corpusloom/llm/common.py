@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.scratch import drop_table, shared_dir, write_table
+from corpusloom.scratch import drop_table, free_name, shared_dir, write_table
 
-__all__ = ["drawn", "drop_table", "free_name", "shared_dir", "short_batches", "size_of", "table", "texts_of", "write_table"]
+__all__ = ["drawn", "drop_table", "free_name", "shared_dir", "short_batches", "size_of", "split_join", "table", "texts_of", "write_table"]
 
 #: Rows of an Arrow batch of whole texts, where the session leaves Spark's default.
 BATCH_ROWS = 2000
@@ -35,12 +35,22 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def free_name(name: str, *rows: DataFrame) -> str:
-    """``name``, with as many underscores behind it as no column of ``rows`` has (in any case of letters)."""
-    taken = {c.lower() for r in rows for c in r.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+#: A hub is a key with more than HUB rows and more than one in HUBS of all: there are fewer than HUBS of them.
+HUB, HUBS = 64, 1000
+
+
+def split_join(many: DataFrame, few: DataFrame, key: str, by: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with the one row of ``few`` for each ``key``; ``n`` of ``few`` is how many of the ``total`` rows of ``many`` have it.
+
+    The rows of a hub are dealt out over salts by ``by``, and its row of ``few`` is sent to each.
+    """
+    salt, salts = free_name("_salt", many, few), free_name("_salts", many, few)
+    most = max(HUB, total // HUBS)
+    hubs = F.broadcast(few.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias(salts)))  # fewer than HUBS rows
+    count = F.coalesce(salts, F.lit(1))
+    dealt = many.join(hubs, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), count).cast("int")).drop(salts)
+    everywhere = few.join(hubs, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), count - 1))).drop(salts)
+    return dealt.join(everywhere, [key, salt], how).drop(salt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_table, free_name, short_batches, write_table
+from corpusloom.llm.common import drop_table, free_name, short_batches, split_join, write_table
 
 MIN_WORDS = 50
 #: A line in more texts than this is frequent.
@@ -243,14 +243,14 @@ def pairs(nodes: DataFrame, min_words: int, rare: int = RARE) -> tuple[DataFrame
     """Overlapping texts of ``nodes``: (doc_id, t0) of the later one, (other_id, other_t0) of the earlier; and the tables below them."""
     # read by the count and by the join: written, so that texts are posted once
     rows, rows_at = write_table(nodes.mapInArrow(_posted(min_words), "line long, run long, first boolean, doc_id long, t0 long"), "posted-lines")
-    often = rows.where("first").groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
-    shared, shared_at = write_table(rows.join(often, "line"), "shared-lines")
+    often = rows.groupBy("line").agg(F.count_if("first").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    shared, shared_at = write_table(split_join(rows, often, "line", "doc_id", "rows", rows.count()).drop("rows"), "shared-lines")
     # at most `rare` texts of a line are gathered
     few = shared.where((F.col("n") <= rare) & F.col("first")).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t0"))).alias("own"))
     few = few.select("own", F.posexplode("own").alias("at", "one")).where("at > 0").select("one", F.explode(F.slice("own", F.lit(1), F.col("at"))).alias("other"))
     many = shared.where(F.col("n") > rare).select("run", F.struct("doc_id", "t0").alias("one"))
-    owners = many.groupBy("run").agg(F.min("one").alias("other"), F.max("one").alias("last")).where("other < last").select("run", "other")
-    many = many.join(owners, "run").where("one > other").select("one", "other")
+    owners = many.groupBy("run").agg(F.min("one").alias("other"), F.max("one").alias("last"), F.count("*").alias("rows")).where("other < last").select("run", "other", "rows")
+    many = split_join(many, owners, "run", "one", "rows", shared.count()).where("one > other").select("one", "other")
     found = few.unionAll(many).select("one.doc_id", "one.t0", F.col("other.doc_id").alias("other_id"), F.col("other.t0").alias("other_t0"))
     return found.distinct(), [rows_at, shared_at]
 
@@ -276,7 +276,6 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataF
     copied = nodes.where("last > doc_id").select("t0", "t1", F.col("doc_id").alias("_of"))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(-1).alias("lines")))
     copies = signed.select("doc_id", "t0", "t1").join(copied, ["t0", "t1"]).where("doc_id > _of").select("doc_id", "t0").distinct().withColumn("cut", whole)
-    # by its size Spark may send it to all tasks, and texts need no shuffle then
     out, _ = write_table(own.unionAll(copies), "cuts")
     for path in (signed_at, nodes_at, *paths):
         drop_table(docs.sparkSession, path)
@@ -291,7 +290,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: str | None = None,
     """The columns of ``docs``, with texts cut; then, if named, ``whole``: the text before."""
     of, t0, cut = (free_name(x, docs) for x in ("_of", "_t0", "_cut"))
     found = cuts(docs.select("doc_id", "text"), min_words, rare).select(F.col("doc_id").alias(of), F.col("t0").alias(t0), F.array_sort("cut").alias(cut))
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col(of)) & (F.xxhash64("text") == F.col(t0)), "left")
+    # never sent whole to all tasks, as it grows with the table: a hash table of each partition's cuts, and texts need no sort
+    joined = docs.join(found.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(of)) & (F.xxhash64("text") == F.col(t0)), "left")
     # only texts with cuts go to Python
     touched = F.pandas_udf(_delete, "string")(F.when(F.col(cut).isNotNull(), F.col("text")), F.col(cut)["first"], F.col(cut)["lines"])
     rest = F.when(F.col(cut).isNull(), F.col("text")).otherwise(touched)
