@@ -56,8 +56,8 @@ def sample_bytes(lines: DataFrame, target: int, seed: int = 42) -> DataFrame:
 
 def estimated_examples(files: DataFrame, total: int) -> DataFrame:
     """(name, num_examples): ``total`` examples shared out by the bytes of files (name, size)."""
-    everything = F.sum("size").over(Window.partitionBy())  # one row for each file of a run
-    return files.withColumn("_all", everything).select("name", F.when(F.col("_all") > 0, F.floor(F.lit(total) * F.col("size") / F.col("_all"))).otherwise(0).alias("num_examples"))
+    everything = files.agg(F.sum("size").alias("_all"))
+    return files.crossJoin(everything).select("name", F.when(F.col("_all") > 0, F.floor(F.lit(total) * F.col("size") / F.col("_all"))).otherwise(0).alias("num_examples"))  # one row on the right
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
