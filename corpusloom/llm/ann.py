@@ -179,13 +179,14 @@ def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, params: Params = DEFAULT) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each query but itself."""
     spark = vectors.sparkSession
-    rows, _ = write_table(usable(vectors), "vectors")
+    # read for the pivots, for the lengths of files and for the postings
+    rows, _ = write_table(smallest(usable(vectors), k), "vectors")
     pivots = fit(rows, params)
     out = "query_id long, rank int, vec_id long, score double"
     if not pivots.size:
         return spark.createDataFrame([], out)
     schema = "file int, vec_id long, embedding array<double>"
-    posted, asked = smallest(rows, k).mapInArrow(_post(pivots, params.posted), schema), usable(queries).mapInArrow(_post(pivots, params.read), schema)
+    posted, asked = rows.mapInArrow(_post(pivots, params.posted), schema), usable(queries).mapInArrow(_post(pivots, params.read), schema)
 
     def dealt(postings: DataFrame, most: int) -> Column:
         """Parts of each file; one count for each pivot reaches the driver."""
