@@ -3,13 +3,16 @@
 ``mux`` writes one programme with one elementary stream: a programme association
 table, a programme map table, then PES packets cut into 188-byte transport packets.
 ``demux`` is a general reader for such streams: it follows the tables to the
-elementary stream, checks the continuity counter of every PID, reassembles the PES
-packets and lists time stamps with random-access points.  Both work on whole arrays
-of packets, so the cost of a text grows with its bytes only.
+elementary stream (the first of the tables, or the one named), checks the continuity
+counter of every PID, reassembles the PES packets and lists time stamps with
+random-access points.  A packet sent twice counts once, and a discontinuity that its
+packet announces is no break.  Both work on whole arrays of packets, so the cost of a
+text grows with its bytes only.
 
 Edge cases: a null or empty text is one block of padding; very long texts are
 written as more access units; rows are independent, so ties, repeated rows and extra
-columns have no effect.  A damaged stream raises ``ValueError`` in ``demux``.
+columns have no effect.  A damaged stream raises ``ValueError`` in ``demux``; one with
+packets missing is read on, with the places in ``broken``.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.llm.common import texts_of
+from corpusloom.llm.common import short_batches, texts_of
 
 PACKET = 188
 BLOCK = 192
@@ -145,7 +149,11 @@ class Stream:
     payload: bytes = b""
     stamps: list[int] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)  # indexes of access units
-    breaks: int = 0  # places where a continuity counter jumps
+    broken: list[tuple[int, int]] = field(default_factory=list)  # (PID, packet) where a continuity counter jumps
+
+    @property
+    def breaks(self) -> int:
+        return len(self.broken)
 
 
 def _section_of(packet: np.ndarray) -> bytes:
@@ -159,8 +167,13 @@ def _section_of(packet: np.ndarray) -> bytes:
     return data[:size]
 
 
-def demux(stream: bytes) -> Stream:
-    """Read a transport stream back."""
+def _flags(p: np.ndarray) -> np.ndarray:
+    """The flags of the adaptation fields of packets, 0 without one."""
+    return np.where((p[:, 3] & 0x20 > 0) & (p[:, 4] > 0), p[:, 5], 0)
+
+
+def demux(stream: bytes, pid_wanted: int | None = None) -> Stream:
+    """Read a transport stream back: the elementary stream ``pid_wanted``, or the first of the tables."""
     if not stream or len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
     p = np.frombuffer(stream, dtype=np.uint8).reshape(-1, PACKET)
@@ -182,14 +195,18 @@ def demux(stream: bytes) -> Stream:
                     k += 5 + ((m[k + 3] & 15) << 8 | m[k + 4])
     out = Stream(len(p), programs)
     has_payload = p[:, 3] & 0x10 > 0
+    once = np.ones(len(p), dtype=bool)
     for one in np.unique(pid[pid != NULL_PID]):
         own = np.flatnonzero((pid == one) & has_payload)
-        counters = p[own, 3].astype(np.int16) & 15
-        out.breaks += int(((np.diff(counters) & 15) != 1).sum())
-    es = next((q for streams in programs.values() for q in streams), None)
+        step = np.diff(p[own, 3].astype(np.int16) & 15) & 15
+        twice = (step == 0) & (p[own[1:]] == p[own[:-1]]).all(1)
+        once[own[1:][twice]] = False
+        jump = (step != 1) & ~twice & (_flags(p[own[1:]]) & 0x80 == 0)
+        out.broken += [(int(one), int(k)) for k in own[1:][jump]]
+    es = next((q for streams in programs.values() for q in streams if pid_wanted in (None, q)), None)
     if es is None:
-        raise ValueError("no elementary stream in the tables")
-    own = p[(pid == es) & has_payload]
+        raise ValueError("no such elementary stream in the tables")
+    own = p[(pid == es) & has_payload & once]
     adapted = own[:, 3] & 0x20 > 0
     skip = np.where(adapted, own[:, 4].astype(np.int32) + 1, 0) + 4
     starts = np.flatnonzero(own[:, 1] & 0x40 > 0)
@@ -258,4 +275,5 @@ def media_column(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(found, keep_media)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SPARK_SCHEMA + (", media binary" if keep_media else ""))
+    short_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPARK_SCHEMA + (", media binary" if keep_media else ""))
