@@ -61,8 +61,10 @@ def _names(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text in lower case, each found in the text as it is, so that offsets hold."""
-    return list(map(str.lower, WORD.findall(text)))
+    """The words of a text in lower case, as many as the text as it is has, so that offsets hold."""
+    low = text.lower()
+    # some letters lower to two code points, which may part a word
+    return WORD.findall(low) if len(low) == len(text) else list(map(str.lower, WORD.findall(text)))
 
 
 # Forward-backward ----------------------------------------------------------------------
