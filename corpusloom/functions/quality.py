@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import CONTROL, NWS, WS, bound, let, split_lines, words
+from corpusloom.functions.text import CONTROL, NWS, bound, let, split_lines, words
 
 # Word lists, character classes and weights of the score.
 STOP_WORDS = "的 了 是 在 和 有 我 也 就 人 都 一个 上 不 与 为 这 那 中 来 到 对 以 可 会 被 用 他 她 它 们 而 但 或 如 从 说 要 去 你 还 把 让 给 想 能 没 很 只 这个 自己".split()
@@ -33,7 +33,7 @@ def _count(text: Column, one_of: str) -> Column:
 
 def score(text: Column) -> Column:
     """Penalties in a fixed order of double subtractions; the empty text scores 0."""
-    n_tokens = F.length(F.regexp_replace(F.regexp_replace(text, f"{NWS}+", "x"), f"{WS}+", ""))
+    n_tokens = F.size(words(text))
     # stop words are ideographs all
     stops = F.when(text.rlike(f"[{CJK}]"), F.size(F.filter(words(text), lambda w: w.isin(*STOP_WORDS)))).otherwise(0)
     filled = F.filter(split_lines(text), lambda x: x.rlike(NWS))

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 _SPACES = r"\t\n\x{0b}\x{0c}\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{_SPACES}]"
 NWS = f"[^{_SPACES}]"
+#: The spaces one by one, those of them below 256, and a class around the others: a text without any of it is split by the few.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_FEW = r"[\t\n\x{0b}\x{0c}\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}]"
+_MORE = r"[\x{1680}-\x{3000}]"
 
 # The patterns and characters that cleaning removes, in the order of their use.
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
@@ -91,12 +95,13 @@ def bound(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def strip(text: Column) -> Column:
     """Python's ``str.strip``."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Python's ``str.split``."""
-    return F.filter(F.split(text, f"{WS}+", -1), lambda w: w != "")
+    parts = F.when(text.rlike(_MORE), F.split(text, f"{WS}+", -1)).otherwise(F.split(text, f"{_FEW}+", -1))
+    return F.filter(parts, lambda w: w != "")
 
 
 def split_lines(text: Column) -> Column:
@@ -237,6 +242,17 @@ def ngrams(text: Column, n: int = 5) -> Column:
     return let(words(text), of)
 
 
+def gram_hashes(text: Column, n: int = 5) -> Column:
+    """Hashes of the distinct n-grams, sorted: of their tokens in turn, so no n-gram is put together."""
+
+    def of(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        hashes = F.transform(places, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) >= n, F.array_sort(F.array_distinct(hashes))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words(text), of)
+
+
 class Pipeline:
     """Cleaners applied from left to right; each maps a column to a column."""
 
