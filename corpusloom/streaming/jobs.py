@@ -66,8 +66,8 @@ def rate_limit(events: DataFrame, window: float, most: int) -> DataFrame:
     return events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t")).groupBy("user_id").applyInPandas(run, _LIMITED)
 
 
-def rate_limit_stream(events: DataFrame, window: float, most: int) -> DataFrame:
-    """The same over a stream whose hits of a user arrive in order; state is the seconds in the window, and goes when a user is silent for longer."""
+def rate_limit_stream(events: DataFrame, window: float, most: int, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream whose hits of a user arrive in order, at most ``delay`` late; state is the seconds in the window, and goes when a user is silent for longer by event time."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,11 +77,12 @@ def rate_limit_stream(events: DataFrame, window: float, most: int) -> DataFrame:
         part = pd.concat(list(parts)).sort_values(["t", "event_id"])
         ok, held = allowed(part["t"].tolist(), window, most, held)
         state.update((held,))
-        state.setTimeoutDuration(int(window * 1000) + 1)
+        # the watermark may have passed that already; then the next batch takes the state away
+        state.setTimeoutTimestamp(max(int((part["t"].max() + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield part.assign(allowed=ok)[["user_id", "event_id", "allowed"]]
 
-    keyed = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return keyed.groupBy("user_id").applyInPandasWithState(run, _LIMITED, "seconds array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    return keyed.groupBy("user_id").applyInPandasWithState(run, _LIMITED, "seconds array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def unseen(urls: DataFrame, at: str = "ts", ttl: str = "1 day") -> DataFrame:
