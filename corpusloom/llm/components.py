@@ -3,8 +3,8 @@
 ``local_forest`` contracts arrays of edges to a star forest; the distributed part
 alternates large-star and small-star steps (Kiveris et al., "Connected components in
 MapReduce and beyond") until the table of stars stands still.  Every step is an
-aggregation with partial sums and a join; a hub, the smaller end of more than one edge in
-:data:`HUBS`, is dealt out over salts in the join, so no task gets all its edges.
+aggregation with partial sums and a join in which the edges of a hub are dealt out over
+salts, so no task gets them all.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_table, write_table
+from corpusloom.llm.common import drop_table, split_join, write_table
 
 
 def _contracted(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,19 +87,12 @@ def _contract(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]), pa.array(y[at : at + (1 << 16)])], names=["u", "v"])
 
 
-#: A hub has more than this many edges, and more than one in HUBS of all: there are fewer than HUBS of them.
-HUB, HUBS = 64, 1000
-
-
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges u > v, each to the least neighbour of its smaller end, if that has a smaller one."""
     low = edges.groupBy("u").agg(F.min("v").alias("low")).withColumnRenamed("u", "v")
-    most = max(HUB, total // HUBS)
-    hubs = F.broadcast(edges.groupBy("v").agg(F.ceil(F.count("*") / most).cast("int").alias("salts")).where("salts > 1"))  # fewer than HUBS rows
-    salts = F.coalesce("salts", F.lit(1))
-    dealt = edges.join(hubs, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
-    everywhere = low.join(hubs, "v", "left").select("v", "low", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return dealt.join(everywhere, ["v", "salt"], "left").select("u", F.coalesce("low", "v").alias("v"))
+    sizes = edges.groupBy("v").agg(F.count("*").alias("n"))
+    low = sizes.join(low, "v", "left")
+    return split_join(edges, low, "v", "u", "n", total).select("u", F.coalesce("low", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

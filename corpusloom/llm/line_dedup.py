@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_table, free_name, short_batches, split_join, write_table
+from corpusloom.llm.common import drop_table, free_name, short_batches, split_join, tidy, write_table
 
 MIN_WORDS = 50
 #: A line in more texts than this is frequent.
@@ -242,17 +242,18 @@ def _texts(docs: DataFrame) -> DataFrame:
 def pairs(nodes: DataFrame, min_words: int, rare: int = RARE) -> tuple[DataFrame, list[str]]:
     """Overlapping texts of ``nodes``: (doc_id, t0) of the later one, (other_id, other_t0) of the earlier; and the tables below them."""
     # read by the count and by the join: written, so that texts are posted once
-    rows, rows_at = write_table(nodes.mapInArrow(_posted(min_words), "line long, run long, first boolean, doc_id long, t0 long"), "posted-lines")
-    often = rows.groupBy("line").agg(F.count_if("first").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    rows, rows_at = write_table(nodes.mapInArrow(tidy(_posted(min_words)), "line long, run long, first boolean, doc_id long, t0 long"), "posted-lines")
+    often, often_at = write_table(rows.groupBy("line").agg(F.count_if("first").alias("n"), F.count("*").alias("rows")).where("n > 1"), "often")
     shared, shared_at = write_table(split_join(rows, often, "line", "doc_id", "rows", rows.count()).drop("rows"), "shared-lines")
     # at most `rare` texts of a line are gathered
     few = shared.where((F.col("n") <= rare) & F.col("first")).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t0"))).alias("own"))
     few = few.select("own", F.posexplode("own").alias("at", "one")).where("at > 0").select("one", F.explode(F.slice("own", F.lit(1), F.col("at"))).alias("other"))
     many = shared.where(F.col("n") > rare).select("run", F.struct("doc_id", "t0").alias("one"))
     owners = many.groupBy("run").agg(F.min("one").alias("other"), F.max("one").alias("last"), F.count("*").alias("rows")).where("other < last").select("run", "other", "rows")
+    owners, owners_at = write_table(owners, "owners")
     many = split_join(many, owners, "run", "one", "rows", shared.count()).where("one > other").select("one", "other")
     found = few.unionAll(many).select("one.doc_id", "one.t0", F.col("other.doc_id").alias("other_id"), F.col("other.t0").alias("other_t0"))
-    return found.distinct(), [rows_at, shared_at]
+    return found.distinct(), [rows_at, often_at, shared_at, owners_at]
 
 
 def blocks(nodes: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> tuple[DataFrame, list[str]]:
@@ -261,14 +262,14 @@ def blocks(nodes: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> tu
     other = nodes.select(F.col("doc_id").alias("other_id"), F.col("t0").alias("other_t0"), F.col("lines").alias("other_lines"))
     near, paths = pairs(nodes, min_words, rare)
     found = near.join(other, ["other_id", "other_t0"]).join(mine, ["doc_id", "t0"])
-    found = found.select("doc_id", "t0", "other_id", "lines", "words", "other_lines").mapInArrow(_aligned(min_words), "doc_id long, t0 long, other_id long, first int, lines int, other_first int")
+    found = found.select("doc_id", "t0", "other_id", "lines", "words", "other_lines").mapInArrow(tidy(_aligned(min_words)), "doc_id long, t0 long, other_id long, first int, lines int, other_first int")
     return found, paths
 
 
 def cuts(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """(doc_id, t0, cut): stretches of lines to delete, by document and hash of its text; a written table."""
     short_batches(docs.sparkSession)
-    signed, signed_at = write_table(_texts(docs).mapInArrow(_signatures(min_words), f"{_NODE}, lines binary, words binary"), "line-signatures")
+    signed, signed_at = write_table(_texts(docs).mapInArrow(tidy(_signatures(min_words)), f"{_NODE}, lines binary, words binary"), "line-signatures")
     firsts = signed.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.any_value("lines").alias("lines"), F.any_value("words").alias("words"))
     nodes, nodes_at = write_table(firsts, "distinct-texts")
     common, paths = blocks(nodes, min_words, rare)

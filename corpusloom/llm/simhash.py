@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drop_table, short_batches, write_table
+from corpusloom.llm.common import drop_table, short_batches, split_join, tidy, write_table
 from corpusloom.llm.components import components, local_forest, spanning_forest
 
 #: An anchor with more homes than this, and more than one in HOT_ANCHORS of all, is dealt out over salts; there are fewer than HOT_ANCHORS of them.
@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
             f = [fingerprint(t.as_py(), words, lanes) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([_signed(x[k]) for x in f], type=pa.int64()) for k in range(lanes))], names=["doc_id", *(f"f{k}" for k in range(lanes))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes))]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes))]))
 
 
 def set_fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
@@ -175,7 +175,7 @@ def set_fingerprints(docs: DataFrame, words: int, layout: Layout) -> DataFrame:
             f = [set_fingerprint(t.as_py(), words, lanes) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([_signed(x[k]) for x, _ in f], type=pa.int64()) for k in range(lanes)), pa.array([_signed(h) for _, h in f], type=pa.int64())], names=["doc_id", *(f"f{k}" for k in range(lanes)), "whole"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes)), "whole long"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(["doc_id long", *(f"f{k} long" for k in range(lanes)), "whole long"]))
 
 
 # Covering code -------------------------------------------------------------------------
@@ -384,8 +384,8 @@ def links(distinct: DataFrame, layout: Layout, real: bool = False) -> DataFrame:
     homes = distinct.mapInArrow(_homes(layout), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most)
     hot = {int(r[0]): -(-int(r[1]) // most) for r in homes.collect()}  # fewer than HOT_ANCHORS
     names = ["node", *(["root"] if "root" in distinct.columns else []), *(f"f{k}" for k in range(layout.lanes))]
-    rows = distinct.mapInArrow(_replicas(layout, hot, names), ", ".join(["anchor long, salt int, member byte", *(f"{c} long" for c in names)]))
-    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(_compare(layout, real), "u long, v long")
+    rows = distinct.mapInArrow(tidy(_replicas(layout, hot, names)), ", ".join(["anchor long, salt int, member byte", *(f"{c} long" for c in names)]))
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "member").mapInArrow(tidy(_compare(layout, real)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, layout: Layout = NARROW) -> DataFrame:
@@ -486,11 +486,12 @@ def _between(layout: Layout, least: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (group, node, shingles, ...) with part, x, y: each two rows of a group meet in one (x, y), of bounded size."""
-    sizes = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("parts"))
-    dealt = rows.join(sizes.withColumn("parts", F.greatest("parts", F.lit(1))), "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    """Rows (group, node, shingles, ...) with part, x, y: each two rows of a group meet in one (x, y), of bounded size and in a task of its own."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = rows.groupBy("group").agg(parts.alias("parts"), F.count("*").alias("n"))
+    dealt = split_join(rows, sizes, "group", "node", "n", rows.count()).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other")
+    return met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).drop("parts", "other", "n").repartition("group", "x", "y")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layout: Layout | None = None) -> DataFrame:
@@ -515,12 +516,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, layou
     ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = named.join(ends, named["doc_id"] == ends["node"]).select("node", "text")
     short_batches(docs.sparkSession)
-    sets, sets_at = write_table(texts.mapInArrow(_shingles(words), "node long, shingles binary"), "shingles")
+    sets, sets_at = write_table(texts.mapInArrow(tidy(_shingles(words)), "node long, shingles binary"), "shingles")
     first = found.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     both = first.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
     # rows of one doc_id share it, whatever their fingerprints
     own = prints.join(distinct, [*lanes, "whole"]).where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-    edges, edges_at = write_table(both.mapInArrow(_alike(least), "u long, v long").unionAll(own), "similar")
+    edges, edges_at = write_table(both.mapInArrow(tidy(_alike(least)), "u long, v long").unionAll(own), "similar")
     roots, roots_at = write_table(components(edges), "roots")
     # candidates that no forest held and whose ends are still apart
     ended = distinct.join(ends, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *lanes)
