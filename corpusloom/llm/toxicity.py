@@ -27,9 +27,7 @@ empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import zip_longest
@@ -39,25 +37,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drawn, short_batches
+from corpusloom.llm.common import drawn, give_back, short_batches
 
 WORD = re.compile(r"[^\W_]+")
 #: Bounds of the training sample: documents of each label, and code points of a document.
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 20_000
 #: Words that the field is fitted on; documents beyond it serve the curve only.
-FIT_TOKENS = 400_000
+FIT_TOKENS = 200_000
 DIMENSION = 1 << 18
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers.
 KNOWN = 200_000
 
 
-def features(word: str) -> list[int]:
-    return [zlib.crc32(f"w:{word}".encode()) % DIMENSION, *(zlib.crc32(f"p:{word[:k]}".encode()) % DIMENSION for k in PREFIXES if len(word) >= k)]
+def _names(word: str) -> list[int]:
+    """A word's features by their hashes: itself and its prefixes."""
+    return [zlib.crc32(f"w:{word}".encode()), *(zlib.crc32(f"p:{word[:k]}".encode()) for k in PREFIXES if len(word) >= k)]
 
 
-def _names(word: str) -> list[str]:
-    return [f"w:{word}", *(f"p:{word[:k]}" for k in PREFIXES if len(word) >= k)]
+def features(word: str) -> list[int]:
+    """The slots of a word's features."""
+    return [h % DIMENSION for h in _names(word)]
 
 
 def words_of(text: str) -> list[str]:
@@ -204,21 +204,24 @@ def _apart(texts: list[list[str]]) -> np.ndarray:
     return keep
 
 
-def toxic_features(words: list[list[str]], labels: np.ndarray) -> set[str]:
+def toxic_features(words: list[list[str]], labels: np.ndarray) -> set[int]:
     """Features whose documents are toxic so often that chance would bring up none among all features."""
-    toxic, clean = Counter(), Counter()
-    for w, x in zip(words, labels, strict=True):
-        (toxic if x else clean).update({n for one in set(w) for n in _names(one)})
+    found = [np.unique(np.fromiter((h for one in set(w) for h in _names(one)), dtype=np.uint32)) for w in words]
+    none = np.empty(0, dtype=np.uint32)
+    names, total = np.unique(np.concatenate([none, *found]), return_counts=True)
+    own, counts = np.unique(np.concatenate([none, *(f for f, x in zip(found, labels, strict=True) if x)]), return_counts=True)
+    toxic = np.zeros(len(names), dtype=np.int64)
+    toxic[np.searchsorted(names, own)] = counts
     share = (labels.sum() + 1) / (len(labels) + 2)
     # of the features in k documents, a share ** k would be in toxic ones only by chance
-    sizes = Counter((toxic + clean).values())
-    need, chance = max(sizes, default=0) + 1, 0.0
+    sizes = np.bincount(total)
+    need, chance = len(sizes), 0.0
     for k in range(need - 1, 2, -1):
         chance += sizes[k] * share**k
         if chance > 0.5:
             break
         need = k
-    return {n for n, k in toxic.items() if k >= need and clean[n] <= 0.02 * k}
+    return set(names[(toxic >= need) & (total - toxic <= 0.02 * toxic)].tolist())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -243,7 +246,7 @@ def gradients(emission: np.ndarray, y: np.ndarray, reset: np.ndarray, transition
     return p - y, expected - gold
 
 
-def _fit_chain(sequences: list[list[str]], marks: set[str], steps: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
+def _fit_chain(sequences: list[list[str]], marks: set[int], steps: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions by Adam on the conditional likelihood."""
     flat = [w for s in sequences for w in s]
     index: dict[str, int] = {}
@@ -274,7 +277,9 @@ def _fit_chain(sequences: list[list[str]], marks: set[str], steps: int = 40) ->
 def fit(texts: list[str], labels: list[int]) -> Field:
     """Fit field and curve on labelled texts."""
     y = np.array(labels, dtype=np.float64)
-    words = [list(map(sys.intern, words_of(t))) for t in texts]
+    same: dict[str, str] = {}  # equal words as one string
+    words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]
+    same.clear()
     share = (y.sum() + 1) / (len(y) + 2)
     nothing = Field(np.zeros(DIMENSION), -6.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
     if not 0 < y.sum() < len(y):
@@ -295,7 +300,9 @@ def fit(texts: list[str], labels: list[int]) -> Field:
         return nothing
     weights, bias, transition = _fit_chain(sequences, marks)
     model = Field(weights, bias, transition, nothing.curve)
-    model.curve = _logistic(_summary(model.tag(texts)), y)
+    # a few documents at a time, as all their messages at once would fill the driver
+    found = [_summary(model.tag(texts[at : at + 200])) for at in range(0, len(texts), 200)]
+    model.curve = _logistic(np.concatenate(found), y)
     return model
 
 
@@ -343,6 +350,7 @@ def score(docs: DataFrame, model: Field, text: str = "text", to: str = "_toxicit
                 at = end
             s = np.concatenate(scores) if scores else np.empty(0)
             yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype("int32"), "spans": spans})
+        give_back()
 
     if to.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {to} already")
