@@ -30,18 +30,19 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches, size_of, texts_of
+from corpusloom.llm.common import short_batches, size_of, texts_of, tidy
 
 #: A block ends after so many tokens, or bytes of text.
 BLOCK_TOKENS, BLOCK_BYTES = 1 << 21, 16 << 20
-#: A task of a shuffle serves about so many bytes of the input.
-TASK_BYTES = 32 << 20
+#: A task of a shuffle serves about so many bytes of the input, and there are so many tasks at most.
+TASK_BYTES, TASKS = 1 << 20, 1 << 15
 #: Words of a bucket whose ids are kept.
 KNOWN_WORDS = 500_000
 #: Hash classes of words, at least.
@@ -76,16 +77,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(1)
+def _decoding(path: str) -> dict[int, bytes]:
+    """Rank to token bytes; kept by a worker from task to task."""
+    return {i: w for w, i in read_ranks(path).items()}
+
+
+@lru_cache(1)
+def _encoding(path: str):
+    """The encoding of single words, which are pre-tokens already and taken whole; kept likewise."""
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
+
+
 class _Codes(dict):
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         return n
 
 
-def _squeeze(data: bytes) -> bytes:
+def _squeeze(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
@@ -106,6 +121,33 @@ def _values(data: bytes, width: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+#: Ranks below the first bound take one byte, up to the second two, up to the third three, and five beyond.
+_ONE, _TWO = 176, 176 + 64 * 256
+_THREE = _TWO + 15 * 65536
+
+
+def _ranks(r: np.ndarray) -> bytes:
+    """Numbers that are mostly small: first bytes, then what is left of each length, plane by plane."""
+    r = r.astype(np.int64)
+    first = np.select([r < _ONE, r < _TWO, r < _THREE], [r, _ONE + (r - _ONE >> 8), 240 + (r - _TWO >> 16)], 255).astype(np.uint8)
+    two, three, five = r[(r >= _ONE) & (r < _TWO)] - _ONE, r[(r >= _TWO) & (r < _THREE)] - _TWO, r[r >= _THREE]
+    planes = [first, two & 255, three & 255, three >> 8 & 255, *(five >> k & 255 for k in (0, 8, 16, 24))]
+    data = [_squeeze(x.astype(np.uint8).tobytes(), 3) for x in planes]
+    return np.array([len(x) for x in data], dtype="<u8").tobytes() + b"".join(data)
+
+
+def _from_ranks(data: bytes) -> np.ndarray:
+    ends = 64 + np.cumsum(np.frombuffer(data[:64], dtype="<u8").astype(np.int64))
+    first, two, low, high, *five = (np.frombuffer(_expand(data[a:b]), dtype=np.uint8).astype(np.int64) for a, b in zip([64, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    out = first.copy()
+    k = (first >= _ONE) & (first < 240)
+    out[k] = _ONE + (first[k] - _ONE << 8) + two
+    k = (first >= 240) & (first < 255)
+    out[k] = _TWO + (first[k] - 240 << 16) + low + (high << 8)
+    out[first == 255] = sum(x << 8 * n for n, x in enumerate(five))
+    return out
+
+
 def _pair(a: bytes, b: bytes) -> bytes:
     return len(a).to_bytes(4, "little") + a + b
 
@@ -136,7 +178,7 @@ def _explode(pattern: str, block_tokens: int, buckets: int) -> Callable[[Iterato
             rank[order] = np.arange(len(order))
             encoded = [words[k].encode() for k in order]
             bucket = np.array([zlib.crc32(w) % buckets for w in encoded], dtype=np.int64)
-            rows = [(block, -1, -1 - (block >> 32) * 1009 - (block & 0xFFFFFFFF), _int_list([x for d in docs for x in d]), _planes(rank[seq] if len(seq) else seq, 3) if len(words) < 1 << 24 else _planes(rank[seq], 4))]
+            rows = [(block, -1, -1 - (block >> 32) * 1009 - (block & 0xFFFFFFFF), _int_list([x for d in docs for x in d]), _ranks(rank[seq] if len(seq) else seq))]
             for k in np.unique(bucket):
                 mine = np.flatnonzero(bucket == k)
                 own = [encoded[i] for i in mine]
@@ -162,10 +204,7 @@ def _encode(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """Rows sorted by bucket: its words to ids, each distinct word once; other rows pass."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        # words are pre-tokens already: each is taken whole
-        encoding = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(vocabulary), special_tokens={})
+        encoding = _encoding(vocabulary)
         known: dict[bytes, np.ndarray] = {}
         at = None
         for batch in found:
@@ -197,7 +236,7 @@ def _reassemble(vocabulary: str, with_ids: bool) -> Callable[[Iterator[pa.Record
     """Rows sorted by (block, bucket): the block's positions, then its words with their ids."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: w for w, i in read_ranks(vocabulary).items()}
+        table = _decoding(vocabulary)
 
         def close(head: tuple[bytes, bytes], words: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             docs = np.frombuffer(_expand(head[0]), dtype="<i8").reshape(-1, 3)
@@ -222,7 +261,7 @@ def _reassemble(vocabulary: str, with_ids: bool) -> Callable[[Iterator[pa.Record
                     decoded[w] = b"".join([table[x] for x in part])
                     if with_ids:
                         own[w] = part
-            seq = _values(head[1], 3 if n_words < 1 << 24 else 4)
+            seq = _from_ranks(head[1])
             n_tokens, id_sha, text_sha, all_ids = [], [], [], []
             at = 0
             for count in docs[:, 2].tolist():
@@ -261,8 +300,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
     """
     short_batches(docs.sparkSession)
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(buckets, size_of(docs) // TASK_BYTES)
-    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_explode(pattern, block_tokens, buckets), "block long, bucket int, deal long, a binary, b binary")
-    ids = exploded.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(_encode(vocabulary), "block long, bucket int, a binary, b binary")
+    parts = max(buckets, min(TASKS, size_of(docs) // TASK_BYTES))
+    exploded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_explode(pattern, block_tokens, buckets)), "block long, bucket int, deal long, a binary, b binary")
+    ids = exploded.repartition(parts, "deal").sortWithinPartitions("deal").mapInArrow(tidy(_encode(vocabulary)), "block long, bucket int, a binary, b binary")
     blocks = ids.repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return blocks.mapInArrow(_reassemble(vocabulary, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
+    return blocks.mapInArrow(tidy(_reassemble(vocabulary, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
