@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches, write_table
+from corpusloom.llm.common import short_batches, tidy, write_table
 
 #: Pieces of text kept by a worker; beyond it the table starts anew.
 PIECES = 200_000
 #: Bytes of text that are split at once.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Texts with characters beyond Latin-1, or with those that the tokenizer takes for marks and others for white space.
 _SLOW = "[^\\x00-\\x1b\\x20-\\x{ff}]"
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -202,9 +202,9 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
     what reaches the driver is one total for each of its partitions.
     """
     short_batches(docs.sparkSession)
-    coded, _ = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokens(vocabulary, end_id), "doc_id long, part int, first long, n long, ids binary"), "tokens")
+    coded, _ = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_tokens(vocabulary, end_id)), "doc_id long, part int, first long, n long, ids binary"), "tokens")
     bases, total = {}, 0
     for part, n in sorted((r[0], r[1]) for r in coded.groupBy("part").agg(F.sum("n")).collect()):
         bases[part], total = total, total + n
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long" + (", ids array<int>" if with_ids else "")
-    return coded.mapInArrow(_pieces(length, bases, total, with_ids), schema)
+    return coded.mapInArrow(tidy(_pieces(length, bases, total, with_ids)), schema)
