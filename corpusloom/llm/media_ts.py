@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import short_batches, texts_of
+from corpusloom.llm.common import short_batches, texts_of, tidy
 
 PACKET = 188
 BLOCK = 192
@@ -276,4 +276,4 @@ def media_column(docs: DataFrame, keep_media: bool = False) -> DataFrame:
         return _rows(found, keep_media)
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPARK_SCHEMA + (", media binary" if keep_media else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SPARK_SCHEMA + (", media binary" if keep_media else ""))

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import drawn, short_batches
+from corpusloom.llm.common import drawn, give_back, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample.
@@ -348,6 +348,7 @@ def digest(docs: DataFrame, model: Field) -> DataFrame:
                     kinds = [k for _, k, _ in base]
                     out.append((*(kinds.count(k) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(whole)))
             yield pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        give_back()
 
     return docs.select("doc_id", tagged(F.col("text")).alias("_t")).select("doc_id", "_t.*")
 
@@ -373,5 +374,6 @@ def redact(docs: DataFrame, model: Field) -> DataFrame:
             for texts in _in_parts([x or "" for x in part]):
                 out += [redacted(t, whole) for t, (_, whole) in zip(texts, tag(texts, model), strict=True)]
             yield pd.Series([None if x is None else y for x, y in zip(part, out, strict=True)], dtype=object)
+        give_back()
 
     return docs.withColumn("text", clean(F.col("text"))).select(*docs.columns)

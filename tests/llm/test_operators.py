@@ -273,6 +273,13 @@ def test_bpe_matches_tiktoken(docs):
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) for r in found) == sorted(want)
 
 
+def test_ranks_round_trip():
+    edges = [0, bpe._ONE - 1, bpe._ONE, bpe._TWO - 1, bpe._TWO, bpe._THREE - 1, bpe._THREE, (1 << 32) - 1]
+    rng = np.random.default_rng(0)
+    for values in (edges, [], [5], rng.integers(0, 1 << 32, 1000).tolist(), (rng.zipf(1.3, 5000) % (1 << 22)).tolist()):
+        assert bpe._from_ranks(bpe._ranks(np.array(values, dtype=np.uint32))).tolist() == list(values)
+
+
 def test_pre_tokens_match_the_pattern():
     import regex
 
@@ -663,6 +670,8 @@ def test_toxicity_edges(spark, docs):
         (p,) = marks.tag([text])
         spans = toxicity.spans_of(text, p)
         assert spans and {text[s["start"] : s["end"]].lower() for s in spans} == {"idiot"}
+    for text in map(chr, range(1, 0x3000)):
+        assert len(toxicity.words_of(f"a{text}b {text}")) == len(toxicity.WORD.findall(f"a{text}b {text}"))
     with pytest.raises(ValueError):
         toxicity.score(docs.withColumn("_TOXICITY", F.lit(1)), marks)
 
@@ -741,7 +750,17 @@ def test_transport_stream_round_trip():
         assert back.stamps == [k * media_ts.UNIT_TICKS for k in range(len(back.stamps))]
         assert back.random_access == list(range(0, len(back.stamps), media_ts.GROUP))
     lost = stream[: 188 * 10] + stream[188 * 11 :]
-    assert media_ts.demux(lost).breaks == 1
+    assert media_ts.demux(lost).broken == [(media_ts.ES_PID, 10)]
+    twice = stream[: 188 * 11] + stream[188 * 10 :]
+    assert media_ts.demux(twice).breaks == 0 and media_ts.demux(twice).payload == payload
+    unit = media_ts.mux(payload[:12288])
+    announced = bytearray(stream[: len(unit)] + unit[188 * 2 :])  # the counter starts anew
+    assert media_ts.demux(bytes(announced)).breaks == 1
+    announced[len(unit) + 5] |= 0x80
+    assert media_ts.demux(bytes(announced)).breaks == 0
+    assert media_ts.demux(stream, media_ts.ES_PID).payload == payload
+    with pytest.raises(ValueError):
+        media_ts.demux(stream, 0x101)
     for bad in (b"", stream[:100], b"\0" * 188, media_ts.PAT):
         with pytest.raises(ValueError):
             media_ts.demux(bad)
