@@ -79,6 +79,16 @@ def test_html_texts():
         html.page_text(broken), html.plain_text(broken), html.links(broken, "http://h/")
 
 
+CUT = "<article><h1>a&amp;b &amp</h1><p>&quot;c&quot &am &copy; &copyx; &#38 &ampx; <a href='/p?a=1&copy=2'>d</a></p></article>"
+KEPT = 'a&b &amp\n"c&quot &am © &copyx; & &ampx;\nd'
+
+
+def test_references_without_semicolon(spark):
+    rows = spark.createDataFrame([(1, "http://h/", CUT)], "page_id long, url string, html string")
+    assert crawl.corpus(rows).first().text == " ".join(KEPT.split())
+    assert html.links(CUT, "http://h/") == ["http://h/p?a=1&copy=2"]
+
+
 def test_urls(spark):
     assert apply(spark, urls.is_valid, "http://a/x", "ftp://a/x", "http://a/p.JPG", "http://a/stage/advantage", "http://a/login", "HTTPS://a/b", None) == [True, False, False, False, False, True, None]
     assert apply(spark, urls.title, "<title> A &amp; B - site | x</title>", "<meta property='og:title' content='O'><title>T</title>", "none") == ["A & B", "O", ""]
