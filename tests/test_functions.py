@@ -97,6 +97,10 @@ def test_references_without_semicolon_news():
     assert html.page_text(f"<div>no</div>{CUT}", "news") == KEPT
 
 
+def test_references_without_semicolon_novel():
+    assert html.page_text(f"no<div class='chapter-content'>{CUT}</div>", "novel") == KEPT
+
+
 def test_urls(spark):
     assert apply(spark, urls.is_valid, "http://a/x", "ftp://a/x", "http://a/p.JPG", "http://a/stage/advantage", "http://a/login", "HTTPS://a/b", None) == [True, False, False, False, False, True, None]
     assert apply(spark, urls.title, "<title> A &amp; B - site | x</title>", "<meta property='og:title' content='O'><title>T</title>", "none") == ["A & B", "O", ""]
