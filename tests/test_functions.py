@@ -105,6 +105,11 @@ def test_references_without_semicolon_wiki():
     assert html.page_text(f"no<div class='wiki'>{CUT}</div>", "wiki") == KEPT
 
 
+def test_references_without_semicolon_plain():
+    assert html.plain_text(CUT).split("\n") == ["a&b &amp", "", '"c&quot &am © &copyx; & &ampx;d']
+    assert html.plain_text("<p>a &amp</p>", strict=True) == "a &"
+
+
 def test_urls(spark):
     assert apply(spark, urls.is_valid, "http://a/x", "ftp://a/x", "http://a/p.JPG", "http://a/stage/advantage", "http://a/login", "HTTPS://a/b", None) == [True, False, False, False, False, True, None]
     assert apply(spark, urls.title, "<title> A &amp; B - site | x</title>", "<meta property='og:title' content='O'><title>T</title>", "none") == ["A & B", "O", ""]
