@@ -4,7 +4,8 @@
 alternates large-star and small-star steps (Kiveris et al., "Connected components in
 MapReduce and beyond") until the table of stars stands still.  Every step is an
 aggregation with partial sums and a join in which the edges of a hub are dealt out over
-salts, so no task gets them all.
+salts, so no task gets them all.  A table of at most :data:`FEW` edges is contracted in one
+task instead: rounds over it cost the driver some ten plans and stages each, and no more.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import drop_table, split_join, write_table
 
+#: Edges that one task contracts: some hundred KB, whatever the size of the corpus.
+FEW = 1 << 14
+
 
 def _contracted(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots after joining a[k] and b[k] for all k; the least of a component is its root."""
@@ -72,6 +76,7 @@ def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> tuple[n
 
 
 def _contract(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) as the star forest of all the batches."""
     u, v = [], []
     held = 0
     for batch in found:
@@ -102,14 +107,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.unionAll(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long) but the roots; root is the least node reachable.
 
-    An empty edge table gives no rows.  Rounds grow with the logarithm of the longest chain.
+    An empty edge table gives no rows.  Rounds grow with the logarithm of the longest chain;
+    there are none if the tasks' forests have at most ``few`` edges in all.
     """
     spark = edges.sparkSession
     now, path = write_table(edges.mapInArrow(_contract, "u long, v long"), "edges")
     digest, total = None, now.count()
+    if total <= few:
+        return now.coalesce(1).mapInArrow(_contract, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         nxt, nxt_path = write_table(_small_star(_large_star(now, total)), "stars")
         drop_table(spark, path)

@@ -319,7 +319,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    return fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels))
+    give_back()  # the driver serves later stages, too
+    return model
 
 
 def spans_of(text: str, p: np.ndarray) -> list[dict]:

@@ -128,6 +128,23 @@ def test_components_of_long_chains(spark):
     assert found == {**{i: 0 for i in range(1, n + 1)}, 999: 998, 1000: 998}
 
 
+def test_components_in_rounds(spark):
+    n = 300
+    edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000, 999), (1000, 998)], "u long, v long").repartition(7)
+    assert sorted(map(tuple, simhash.components(edges, few=0).collect())) == sorted(map(tuple, simhash.components(edges).collect()))
+    assert not simhash.components(edges.limit(0), few=0).collect() and not simhash.components(edges.limit(0)).collect()
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "u long, v long").repartition(7)
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        assert len(simhash.components(edges).collect()) == 300
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) < 10
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
 def test_near_duplicates_whole(docs, texts):
     found = simhash.near_duplicates(docs).collect()
     rows = docs.select("doc_id", "text").collect()
